@@ -25,8 +25,10 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir; only where it is unset, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="cairnfold-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = spark.sparkContext.getCheckpointDir()
+    if not where:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairnfold-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 

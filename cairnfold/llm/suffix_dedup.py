@@ -56,17 +56,24 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - size)], h[w - size :]) if w > size else h
 
 
-def regions(buf: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
-    """Runs of window starts of one row that share the smallest hash of their K-byte strings."""
-    if len(buf) < length:
-        return np.zeros(0, _REGION)
+def _lows(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The K-byte hashes of buf; and of all windows of one row: row, start in it, smallest hash."""
     k = min(K, length)
-    low = _smallest(rolling(buf, k), length - k + 1)
+    if len(buf) < length:
+        z = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), z, z, np.zeros(0, np.uint64)
+    h = rolling(buf, k)
+    low = _smallest(h, length - k + 1)
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
     first = np.cumsum(sizes) - sizes
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(int(sizes.sum())) - first[row]
-    low = low[at + offsets[row]]
+    return h, row, at, low[at + offsets[row]]
+
+
+def regions(buf: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
+    """Runs of window starts of one row that share the smallest hash of their K-byte strings."""
+    _, row, at, low = _lows(buf, offsets, length)
     if not len(at):
         return np.zeros(0, _REGION)
     fresh = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
@@ -79,6 +86,16 @@ def regions(buf: np.ndarray, offsets: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def chosen(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every place whose K-byte hash is the smallest of a window around it."""
+    h, row, at, low = _lows(buf, offsets, length)
+    w = length - min(K, length) + 1
+    around = np.zeros(len(h) + w - 1, np.uint64)
+    around[w - 1 + at + offsets[row]] = low
+    place = np.flatnonzero((~_smallest(~around, w))[: len(h)] == h) if len(h) else np.zeros(0, np.int64)
+    return np.searchsorted(offsets, place, "right") - 1, h[place]
+
+
 def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     buf, offsets = byte_view(column)
     for lo, hi in slices(offsets):
@@ -92,17 +109,14 @@ def _marks(length: int):
         for batch in batches:
             hashes, marks = [], []
             for _, buf, offs in _parts(batch.column(0)):
-                r = regions(buf, offs, length)
-                if not len(r):
+                row, h = chosen(buf, offs, length)
+                if not len(h):
                     continue
                 own = np.array([int.from_bytes(hashlib.md5(buf[a:b]).digest()[8:], "big", signed=True) for a, b in zip(offs[:-1], offs[1:])], np.int64)
-                order = np.lexsort((r["hash"], r["row"]))
-                h, row, count = r["hash"][order], r["row"][order], r["count"][order]
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
                 new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])]))
-                times = np.diff(np.append(new, len(h)))
-                # a run of more windows than the hash's place can serve has the hash twice
-                many = (times > 1) | (np.maximum.reduceat(count, new) > length - min(K, length) + 1) | (count[new] > 1)
-                twice = new[many]
+                twice = new[np.diff(np.append(new, len(h))) > 1]
                 hashes += [to_long(h[new]), to_long(h[twice])]
                 marks += [own[row[new]], ~own[row[twice]]]
             if hashes:
