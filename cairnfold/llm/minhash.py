@@ -23,7 +23,7 @@ _LOW = np.uint64(2**32 - 1)
 _32 = np.uint64(32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a block in the exact comparison of a bucket that the leaders' links have not joined.
-BLOCK = 128
+BLOCK = 512
 
 
 def bands_for(similarity: float, rows: int, miss: float = 1e-6) -> int:
@@ -105,34 +105,56 @@ def _sets(k: int):
     return run
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], tile: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set on the left with each on the right."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets in (left, right):
+        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    cols = []
+    for values, row in sides:
+        at = np.searchsorted(shared, values)
+        ok = (at < len(shared)) & (shared[np.minimum(at, len(shared) - 1)] == values) if len(shared) else np.zeros(len(values), bool)
+        order = np.argsort(at[ok], kind="stable")
+        cols.append((at[ok][order], row[ok][order]))
+    for lo in range(0, len(shared), tile):
+        grids = []
+        for (at, row), n in zip(cols, out.shape):
+            a, b = np.searchsorted(at, [lo, lo + tile])
+            grid = np.zeros((n, min(tile, len(shared) - lo)), np.float32)
+            grid[row[a:b], at[a:b] - lo] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
 def _joined(num: int, den: int):
-    """Within a block of one bucket, links between documents that no link has joined yet; at most a spanning forest."""
+    """The links between documents of different components in a block; of them a spanning forest."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        across = key[1] != key[2]
-        ids, labels, chunk = pdf["id"].to_numpy(), pdf["label"].to_numpy(), pdf["chunk"].to_numpy()
-        sets = [np.asarray(x) for x in pdf["words"]]
+        one = (pdf["chunk"] == key[1]).to_numpy()
+        other = (pdf["chunk"] == key[2]).to_numpy()
+        sets, labels = [np.asarray(x) for x in pdf["words"]], pdf["label"].to_numpy()
         sizes = np.array([len(x) for x in sets])
-        order = np.argsort(sizes, kind="stable")
-        root = {x: x for x in labels}
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+        a, b = np.flatnonzero(one), np.flatnonzero(other)
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        both = common_counts([sets[x] for x in a], [sets[x] for x in b])
+        linked = (den * both >= num * (sizes[a][:, None] + sizes[b][None, :] - both)) & (labels[a][:, None] != labels[b][None, :])
+        x, y = np.nonzero(linked)
+        root: dict[int, int] = {}
+
+        def find(v):
+            while root.setdefault(v, v) != v:
+                root[v] = v = root[root[v]]
+            return v
 
         out = []
-        for p, i in enumerate(order):
-            for j in order[p + 1 :]:
-                if den * sizes[i] < num * sizes[j]:
-                    break
-                if (across and chunk[i] == chunk[j]) or find(labels[i]) == find(labels[j]):
-                    continue
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if den * both >= num * (sizes[i] + sizes[j] - both):
-                    out.append((labels[i], labels[j]))
-                    root[find(labels[i])] = find(labels[j])
+        for u, v in {*zip(labels[a[x]].tolist(), labels[b[y]].tolist())}:
+            if find(u) != find(v):
+                root[find(u)] = find(v)
+                out.append((u, v))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -186,14 +208,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     labels = save(components(confirmed(first).select("a", "b")), "labels")
     rest = labelled(stars, ["a", "b"], labels).where("label_a <> label_b").join(first, ["a", "b"], "left_anti")
     labels = merged(labels, confirmed(rest).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
-    # buckets of three or more with several components: every pair of members that aren't joined yet
-    placed = labelled(members, ["id"], labels).withColumnRenamed("label_id", "label")
+    # buckets of three or more with several components: every pair of documents of different components, once for
+    # buckets with the same documents. A component with more than BLOCK members has chunks of its own, which are not
+    # compared with one another; the others share chunks.
+    placed = labelled(members, ["id"], labels).select("key", "id", F.col("label_id").alias("label"))
     state = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("x"), F.max("label").alias("y"), F.bit_xor(F.xxhash64("id")).alias("s1"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(20,0)")).alias("s2"))
-    open_ = state.where("m > 2 and x <> y").groupBy("m", "s1", "s2").agg(F.min("key").alias("key"))
-    chunks = F.ceil(F.col("m") / BLOCK).cast("int")
-    part = placed.join(open_.select("key", "m"), "key").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(2)), "chunks").cast("int"))
-    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    part = part.select("key", "id", "label", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+    open_ = state.where("m > 2 and x <> y").groupBy("m", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    placed = placed.join(open_, "key")
+    sizes = placed.groupBy("key", "label").agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") > BLOCK, F.col("label").cast("string")).otherwise(""))
+    owners = sizes.groupBy("key", "own").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("chunks"))
+    chunks = owners.select("key", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    part = placed.join(sizes.select("key", "label", "own"), ["key", "label"]).join(owners, ["key", "own"])
+    part = part.select("key", "id", "label", "own", F.concat_ws(":", "own", F.pmod(F.xxhash64("id"), "chunks").cast("int")).alias("chunk"))
+    part = part.join(chunks, "key").where("own = '' or own <> other").withColumn("with", F.concat_ws(":", "other", "c"))
+    part = part.select("key", "id", "label", "chunk", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"))
     blocks = part.join(full.dropDuplicates(["id"]), "id").groupBy("key", "i", "j").applyInPandas(_joined(num, den), "a long, b long")
     labels = merged(labels, blocks)
     named = sets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").where("members > 1 or component is not null")
