@@ -108,13 +108,13 @@ def powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def words_of(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words in the rows: start and end in buf, and the row they are in."""
     edge = np.empty(len(buf) + 1, bool)
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, z
-    inside = ~IS_BLANK[buf]
+    inside = ~blank[buf]
     edge[0], edge[-1] = inside[0], inside[-1]
     np.not_equal(inside[1:], inside[:-1], out=edge[1:-1])
     cuts = offsets[(offsets > 0) & (offsets < len(buf))]
