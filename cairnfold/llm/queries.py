@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffix_dedup import cut_repeats
+from .toxicity import score, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end=0)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +48,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op5_exact_dedup, op6_minhash, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op2_pack, op3_toxicity, op5_exact_dedup, op6_minhash, op7_suffix_dedup)}
 
 
 _OP5 = r"""
