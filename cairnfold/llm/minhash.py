@@ -24,6 +24,8 @@ _32 = np.uint64(32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Members of a block in the exact comparison of a bucket that the leaders' links have not joined.
 BLOCK = 512
+#: Bits of the map that saves computing (not moving) sets that no bucket shares; the map has 8 MB, whatever the corpus.
+HINT_BITS = 1 << 26
 
 
 def bands_for(similarity: float, rows: int, miss: float = 1e-6) -> int:
@@ -94,9 +96,23 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int):
+def hinted(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (HINT_BITS) over hashes of the ids: what isn't in it is not among them."""
+    bit = ids.select((F.pmod(F.xxhash64("id"), F.lit(HINT_BITS)) + 1).alias("h"))
+    parts = bit.groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    out = np.zeros(HINT_BITS // 8, np.uint8)
+    for row in parts.toLocalIterator():
+        at = (row["part"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _sets(k: int, hints):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = hints.value
         for batch in batches:
+            h = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             sets = [to_long(x) for x in shingle_sets(batch.column(1), k)]
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
@@ -183,9 +199,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     leaders = save(spread.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z"), "leaders")
     members = save(spread.join(leaders, "key").select("key", "id", "a", "z"), "members")
     stars = save(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    # full sets of the documents that share a bucket with another
+    # full sets of the documents that share a bucket with another; texts are not moved, a bitmap says which to look at
     wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    full = save(own.join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id long, words array<long>"), "full")
+    wanted = save(wanted, "wanted")
+    hints = docs.sparkSession.sparkContext.broadcast(hinted(wanted))
+    likely = own.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(HINT_BITS)).alias("h"))
+    full = save(likely.mapInArrow(_sets(words, hints), "id long, words array<long>").join(wanted, "id", "left_semi"), "full")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(full.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(full.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
@@ -226,7 +245,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     labels = merged(labels, blocks)
     named = sets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").where("members > 1 or component is not null")
     named = save(named.select("hi", "lo", F.coalesce("component", "rep").alias("component")), "named")
-    drop(leaders, members, stars, full)
+    drop(leaders, members, stars, full, wanted)
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return (
         sketched.select("id", "n", "hi", "lo")

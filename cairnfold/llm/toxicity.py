@@ -148,7 +148,7 @@ def calibrated(severity: np.ndarray, toxic: np.ndarray, weight: float = 1.0) ->
     gain = np.cumsum(np.where(toxic[order] > 0, 1.0, -weight))
     if not len(gain) or gain.max() <= 0:
         return np.inf
-    best = int(gain.argmax())
+    best = len(gain) - 1 - int(gain[::-1].argmax())
     upper = severity[order[best]]
     lower = severity[order[best + 1]] if best + 1 < len(order) else 0.0
     return float((upper + lower) / 2)
