@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality_rules, toxicity
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffix_dedup import cut_repeats
-from .toxicity import score, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,12 @@ def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +53,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_toxicity, op5_exact_dedup, op6_minhash, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup)}
 
 
 _OP5 = r"""
