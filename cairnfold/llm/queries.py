@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, toxicity
+from . import quality_classifier, quality_rules, toxicity
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -52,8 +52,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned from ids outside the held-out fold only (crc32 of the id as text, modulo 5, is 0 in it)."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality_classifier.train(docs, labels.where(fold != 0))
+    out = quality_classifier.classify(docs, model, threshold=0.3)
+    return out.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup)}
+    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup, op10_quality)}
 
 
 _OP5 = r"""
