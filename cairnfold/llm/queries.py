@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
 from .suffix_dedup import cut_repeats
+from .warc import round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,10 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are learned from ids outside the held-out fold only (crc32 of the id as text, modulo 5, is 0 in it)."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -62,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup, op10_quality)}
+    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup, op9_warc, op10_quality)}
 
 
 _OP5 = r"""
@@ -98,5 +103,22 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 """
 
 
+_OP9 = r"""
+WITH d AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) || '00' AS hex,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
+  FROM pages
+), b AS (
+  SELECT *, list_transform(range(1, 43), i -> strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS nibble FROM d
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + (((nibble[1 + (5 * i) // 4] * 256 + nibble[2 + (5 * i) // 4] * 16 + nibble[3 + (5 * i) // 4]) >> (7 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
+       CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to, true AS intact
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op6_minhash": _OP6}
+    return {"op5_exact_dedup": _OP5, "op6_minhash": _OP6, "op9_warc": _OP9}
