@@ -147,7 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     """Counts over all labelled rows (1 good, 0 bad); the linear model on at most `sample`, a fifth of it first kept for calibration."""
     rated = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).cast("long").alias("id")).agg(F.min(label).cast("int").alias("label"))
     own = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    counts = own.join(rated, "id").select("label", "text").mapInArrow(_counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    # labels grow with the corpus, so both sides are dealt by id at every size
+    counts = own.join(rated.hint("merge"), "id").select("label", "text").mapInArrow(_counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     good, bad = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     if len(counts):
         at = counts["feature"].to_numpy()
