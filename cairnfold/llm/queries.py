@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_classifier, quality_rules, toxicity
+from . import license_scan, quality_classifier, quality_rules, sentencepiece_codec, toxicity
 from .exact_dedup import exact_dedup
 from .minhash import near_duplicates
 from .packing import pack_documents
@@ -26,6 +26,10 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), capacity=2048, end=0)
 
@@ -53,6 +57,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+    return out.select("doc_id", "n_ids", "ids_crc32", "round_trip", "parity")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"))
 
@@ -67,7 +76,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pack, op3_toxicity, op4_quality_rules, op5_exact_dedup, op6_minhash, op7_suffix_dedup, op9_warc, op10_quality)}
+    every = (
+        op1_license_scan,
+        op2_pack,
+        op3_toxicity,
+        op4_quality_rules,
+        op5_exact_dedup,
+        op6_minhash,
+        op7_suffix_dedup,
+        op8_sentencepiece,
+        op9_warc,
+        op10_quality,
+    )
+    return {f.__name__: f for f in every}
 
 
 _OP5 = r"""
@@ -82,11 +103,11 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_
 
 _OP6 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower_ascii, '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+  SELECT doc_id, list_filter(regexp_split_to_array(lower_ascii, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
   FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
-         ELSE list_transform(range(1, len(words) - 1), i -> array_to_string(words[i:i + 2], ' ')) END) AS shingle FROM w
+         ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle FROM w
 ), n AS (
   SELECT w.doc_id, count(s.shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY 1
 ), pairs AS (
@@ -109,10 +130,10 @@ WITH d AS (
          max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response
   FROM pages
 ), b AS (
-  SELECT *, list_transform(range(1, 43), i -> strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS nibble FROM d
+  SELECT *, list_transform(range(1, 43), lambda i: strpos('0123456789abcdef', substr(hex, i, 1)) - 1) AS nibble FROM d
 )
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          1 + (((nibble[1 + (5 * i) // 4] * 256 + nibble[2 + (5 * i) // 4] * 16 + nibble[3 + (5 * i) // 4]) >> (7 - (5 * i) % 4)) & 31), 1)), '') AS payload_digest,
        CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = response THEN NULL ELSE response END AS refers_to, true AS intact

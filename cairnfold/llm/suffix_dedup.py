@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import _BYTE, _STEP, byte_view, drop, mix, save, slices, to_long
 from .induced_sort import permuted_prefixes, suffix_array
@@ -267,13 +268,13 @@ def _cut(length: int):
                 for c, x in zip(out, (id_, len(data), len(data) - len(kept), [{"lo": a, "hi": b} for a, b in cut], hashlib.sha256(kept).hexdigest(), b"".join(clean).decode("utf-8", "replace"))):
                     c.append(x)
             spans_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], spans_type), pa.array(out[4], pa.string()), pa.array(out[5], pa.string())], ["id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], spans_type), pa.array(out[4], pa.string()), pa.array(out[5], pa.string()), batch.column(4)], ["id", "n_bytes", "n_removed", "spans", "kept_sha256", "kept_text", "carried"])
 
     return run
 
 
-def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = 100) -> DataFrame:
-    """One row per row of docs: (id, n_bytes, n_removed, spans, kept_sha256, kept_text).
+def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: (id, n_bytes, n_removed, spans, kept_sha256, kept_text), and what carry names as `carried`.
 
     A byte is removed when a string of `length` bytes that covers it also starts earlier: in a document with a smaller
     id, or earlier in its own; strings are judged on the input. spans are the maximal removed byte runs, kept_sha256
@@ -287,7 +288,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length:
     one id are ordered by their hash. Texts shorter than `length` stay whole. Empty tables and extra columns are fine.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
-    own = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("id"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("text"), F.coalesce(F.col(text), F.lit("")).alias("content"), digest.alias("digest"))
+    own = docs.select(F.col(id).cast("long").alias("given"), F.coalesce(F.col(id).cast("long"), F.lit(_LAST)).alias("id"), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").alias("text"), F.coalesce(F.col(text), F.lit("")).alias("content"), digest.alias("digest"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
     enough = F.octet_length("content") >= length
     # later copies of a whole text
     short = own.where(enough).select("id", "text", F.unhex("digest").alias("digest"))
@@ -322,6 +323,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length:
     spans = save(spans, "spans")
     drop(groups, repeated, found, occurrences, distinct, hot, single)
     gone = spans.join(copies.withColumn("copy", F.lit(True)), ["id", "text"], "full").select("id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    rows = own.select("given", "id", "text", "content").join(gone, ["id", "text"], "left").select("given", "content", "spans", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = rows.mapInArrow(_cut(length), "id long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept_sha256 string, kept_text string")
-    return out.withColumnRenamed("id", id)
+    rows = own.select("given", "id", "text", "content", "carried").join(gone, ["id", "text"], "left").select("given", "content", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), "carried")
+    schema = T.StructType.fromDDL("id long, n_bytes long, n_removed long, spans array<struct<lo:long,hi:long>>, kept_sha256 string, kept_text string")
+    out = rows.mapInArrow(_cut(length), schema.add(rows.schema["carried"])).withColumnRenamed("id", id)
+    return out if carry else out.drop("carried")

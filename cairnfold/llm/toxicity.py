@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -220,3 +221,17 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", id: str = "d
     """
     out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scored(model), "id long, severity double, grade int, toxic boolean")
     return out.withColumnRenamed("id", id)
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that score() doesn't call toxic. One pass, no shuffle."""
+    at, judged = docs.columns.index(text), _scored(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scored = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(at)], ["id", "text"])
+            parts = [b.column(3) for b in judged(iter([scored]))]
+            if parts:
+                yield batch.filter(pc.invert(pa.concat_arrays(parts)))
+
+    return docs.mapInArrow(run, docs.schema)
