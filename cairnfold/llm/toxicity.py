@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, slices, word_hashes, words_of
+from .common import byte_view, drop, mix, save, slices, word_hashes, words_of
 
 #: Bits of a feature's hash; a word counts as itself and by its first bytes.
 BITS = 40
@@ -59,6 +59,17 @@ def _hinted(ids: np.ndarray, feats: np.ndarray) -> np.ndarray:
     return hint[feats & 0xFFFF]
 
 
+@dataclass
+class Stats:
+    """Of each feature, how many toxic and clean rows hold it."""
+
+    ids: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+    n1: int
+    n0: int
+
+
 @dataclass
 class OrdinalModel:
     """P(grade > k) = sigmoid(w.x - theta[k]), theta rising; one w for all thresholds."""
@@ -83,30 +94,32 @@ class OrdinalModel:
         return self.above(linear).sum(1)
 
 
-def fit(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, grade: np.ndarray, steps: int = 400, ridge: float = 2e-5) -> OrdinalModel:
-    """Fit thresholds and weights by maximum likelihood (Adam on the whole sample)."""
+def chosen(stats: Stats) -> np.ndarray:
+    """Features that tell toxic rows from others: at least EVIDENCE standard errors apart, in five rows or more."""
+    share = (stats.toxic + stats.clean + 1) / (stats.n1 + stats.n0 + 2)
+    n1, n0 = max(1, stats.n1), max(1, stats.n0)
+    z = (stats.toxic / n1 - stats.clean / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
+    return (np.abs(z) >= EVIDENCE) & (stats.toxic + stats.clean >= 5)
+
+
+def marking(stats: Stats) -> np.ndarray:
+    """Features that at least a hundredth of the toxic rows and hardly any other row holds."""
+    n1, n0 = max(1, stats.n1), max(1, stats.n0)
+    return (stats.toxic / n1 >= 0.01) & (stats.toxic / n1 > 15 * (stats.clean + 1) / n0)
+
+
+def fit(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, grade: np.ndarray, ids: np.ndarray, steps: int = 400, ridge: float = 2e-5) -> OrdinalModel:
+    """Fit thresholds and weights of the features ids[feats] by maximum likelihood (Adam on the whole sample)."""
     n, top = len(grade), int(grade.max(initial=0))
-    toxic = grade > 0
-    n1 = max(1, int(toxic.sum()))
-    n0 = max(1, n - n1)
-    ids, feats = np.unique(feats, return_inverse=True)
-    df1 = np.bincount(feats[toxic[rows]], minlength=len(ids))
-    df0 = np.bincount(feats[~toxic[rows]], minlength=len(ids))
-    share = (df1 + df0 + 1) / (n + 2)
-    z = (df1 / n1 - df0 / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((np.abs(z) >= EVIDENCE) & (df1 + df0 >= 5))
-    index = np.full(len(ids), -1, np.int64)
-    index[chosen] = np.arange(len(chosen))
-    use = index[feats] >= 0
-    r, f, x = rows[use], index[feats[use]], np.log1p(counts[use])
+    r, f, x = rows, feats, np.log1p(counts)
     k = max(1, top)
-    w = np.zeros(len(chosen))
+    w = np.zeros(len(ids))
     share = np.array([(grade > j).mean() for j in range(k)]).clip(1e-4, 1 - 1e-4)
     theta = np.log((1 - share) / share)
     raw = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-2))])  # rising thresholds
     params, m, v = np.concatenate([w, raw]), 0.0, 0.0
     for step in range(1, steps + 1):
-        w, raw = params[: len(chosen)], params[len(chosen) :]
+        w, raw = params[: len(ids)], params[len(ids) :]
         gaps = np.exp(raw[1:])
         theta = raw[0] + np.concatenate([[0.0], np.cumsum(gaps)])
         eta = np.bincount(r, weights=w[f] * x, minlength=n)
@@ -118,24 +131,15 @@ def fit(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, grade: np.ndarr
         for j in range(k):
             g_theta[j] = (-(slope[:, j + 1] / p)[grade == j].sum() + (slope[:, j + 1] / p)[grade == j + 1].sum()) / n
         tail = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(f, weights=x * g_eta[r], minlength=len(chosen)) + ridge * w, [tail[0]], tail[1:] * gaps])
+        g = np.concatenate([np.bincount(f, weights=x * g_eta[r], minlength=len(ids)) + ridge * w, [tail[0]], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         params = params - 0.15 * (0.1 ** (step / steps)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    w, raw = params[: len(chosen)], params[len(chosen) :]
-    return OrdinalModel(ids[chosen], w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
+    w, raw = params[: len(ids)], params[len(ids) :]
+    return OrdinalModel(ids, w, raw[0] + np.concatenate([[0.0], np.cumsum(np.exp(raw[1:]))]))
 
 
-def grades(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, toxic: np.ndarray, levels: int = 3) -> np.ndarray:
-    """Severity grades from 0/1 labels: 0, or for toxic rows 1 to `levels` by how much in the text is marked.
-
-    Marked is what at least a hundredth of the toxic rows and hardly any other row holds.
-    """
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    ids, feats = np.unique(feats, return_inverse=True)
-    df1 = np.bincount(feats[toxic[rows] > 0], minlength=len(ids)) / n1
-    df0 = np.bincount(feats[toxic[rows] == 0], minlength=len(ids)) / n0
-    mark = (df1 >= 0.01) & (df1 > 15 * (df0 + 1 / n0))
-    hits = np.bincount(rows[mark[feats]], weights=counts[mark[feats]], minlength=len(toxic))
+def grades(hits: np.ndarray, toxic: np.ndarray, levels: int = 3) -> np.ndarray:
+    """Severity grades from 0/1 labels: 0, or for toxic rows 1 to `levels` by how many marking features they hold."""
     out = np.zeros(len(toxic), np.int64)
     if toxic.any():
         cuts = np.quantile(hits[toxic > 0], np.arange(1, levels) / levels)
@@ -155,42 +159,72 @@ def calibrated(severity: np.ndarray, toxic: np.ndarray, weight: float = 1.0) ->
     return float((upper + lower) / 2)
 
 
-def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many toxic and clean rows hold each feature, slice by slice."""
     for batch in batches:
+        toxic = batch.column(1).to_numpy()
         buf, offsets = byte_view(batch.column(2))
         for lo, hi in slices(offsets):
-            r, f, n = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            r, f, c = counted(r, f)
-            at = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.ListArray.from_arrays(at, pa.array(f)), pa.ListArray.from_arrays(at, pa.array(c, pa.int32()))],
-                ["id", "toxic", "n", "feats", "counts"],
-            )
+            r, f, _ = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            r, f, _ = counted(r, f)
+            ids, at = np.unique(f, return_inverse=True)
+            bad = np.bincount(at, weights=toxic[lo + r], minlength=len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bad), pa.array(np.bincount(at, minlength=len(ids)) - bad)], ["feature", "toxic", "clean"])
+
+
+def _known(ids: np.ndarray):
+    """Each row's counts of the features in ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = byte_view(batch.column(2))
+            for lo, hi in slices(offsets):
+                r, f, _ = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                hint = _hinted(ids, f)
+                r, f, c = counted(r[hint], f[hint])
+                at = places(ids, f)
+                r, at, c = r[at >= 0], at[at >= 0], c[at >= 0]
+                cut = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (at, c)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *lists], ["id", "toxic", "feats", "counts"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, levels: int = 3, folds: int = 4) -> OrdinalModel:
-    """Fit on at most `sample` labelled rows (smallest id hashes). The cut is calibrated on scores of rows left out in turn."""
+    """Fit on at most `sample` labelled rows (smallest id hashes). The cut is calibrated on scores of rows left out in turn.
+
+    The driver gets the features that tell the classes apart and the sample's counts of them, never texts.
+    """
     rated = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(F.max(label).cast("int").alias("toxic"))
     rated = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id").select("id", "toxic", "text")
-    table = rows.mapInArrow(_sample_features, "id long, toxic int, n long, feats array<long>, counts array<int>").toArrow().combine_chunks().sort_by("id")
-    toxic, n = table["toxic"].to_numpy(), table["n"].to_numpy()
+    rows = save(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id").select("id", "toxic", "text"), "rated")
+    n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
+    held = rows.mapInArrow(_held, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 5")
+    gap = F.abs(F.col("toxic") / max(1, n1) - F.col("clean") / max(1, n - n1)) * (max(1, min(n1, n - n1)) ** 0.5)
+    table = held.where(gap >= 0.2).orderBy("feature").toArrow()  # far below what counts as evidence
+    stats = Stats(*(table[c].to_numpy() for c in ("feature", "toxic", "clean")), n1, n - n1)
+    use = chosen(stats) | marking(stats)
+    ids, good, mark = stats.ids[use], chosen(stats)[use], marking(stats)[use]
+    table = rows.mapInArrow(_known(ids), "id long, toxic int, feats array<int>, counts array<int>").toArrow().combine_chunks().sort_by("id")
+    drop(rows)
+    toxic = table["toxic"].to_numpy()
     sizes = np.array(table["feats"].combine_chunks().value_lengths()) if len(table) else np.zeros(0, np.int64)
     r = np.repeat(np.arange(len(toxic)), sizes)
     f, c = (np.asarray(table[x].combine_chunks().flatten(), np.int64) if len(table) else np.zeros(0, np.int64) for x in ("feats", "counts"))
-    grade = grades(r, f, c, toxic, levels)
-    model = fit(r, f, c, grade)
+    grade = grades(np.bincount(r[mark[f]], weights=c[mark[f]], minlength=len(toxic)), toxic, levels)
+    renumber = np.cumsum(good) - 1
+    r, f, c, ids = r[good[f]], renumber[f[good[f]]], c[good[f]], ids[good]
+    model = fit(r, f, c, grade, ids)
     out = np.zeros(len(toxic))
     for k in range(folds if len(toxic) >= 50 else 0):
-        held = np.arange(len(toxic)) % folds == k
-        here = ~held[r]
-        renumber = np.cumsum(~held) - 1
-        part = fit(renumber[r[here]], f[here], c[here], grade[~held])
-        rest = held[r]
-        back = np.cumsum(held) - 1
-        out[held] = part.severity(part.linear(np.repeat(back[r[rest]], c[rest]), np.repeat(f[rest], c[rest]), n[held]))
+        out_of = np.arange(len(toxic)) % folds == k
+        here = ~out_of[r]
+        part = fit((np.cumsum(~out_of) - 1)[r[here]], f[here], c[here], grade[~out_of], ids)
+        eta = np.bincount(r, weights=part.weights[f] * np.log1p(c), minlength=len(toxic))
+        out[out_of] = part.severity(eta)[out_of]
     if len(toxic) < 50:
-        out = model.severity(model.linear(np.repeat(r, c), np.repeat(f, c), n))
+        out = model.severity(np.bincount(r, weights=model.weights[f] * np.log1p(c), minlength=len(toxic)))
     model.cut = calibrated(out, toxic)
     return model
 
