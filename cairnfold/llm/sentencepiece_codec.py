@@ -142,6 +142,13 @@ def build(model: Model):
     return normalizers.Sequence(steps), tokenizer
 
 
+@lru_cache(2)
+def _library(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 class Codec:
     """Encodes and decodes texts as the SentencePiece model in a file does.
 
@@ -150,7 +157,7 @@ class Codec:
     A model that has pieces across words is given whole texts instead.
     """
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2, verify: bool = False):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         with open(path, "rb") as f:
@@ -159,7 +166,11 @@ class Codec:
         self.plain = self.model.escape_whitespaces and not self.model.charsmap and not self.model.remove_extra_whitespaces
         across = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED))
         self.words = re.compile("(?s).+" if across else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.memory: dict[str, np.ndarray] = {}
+        self.across = across
+        self.memory: dict[str, bytes] = {}
+        #: words (texts, for a model with pieces across words) that the sentencepiece library encodes differently
+        self.odd: set[str] = set()
+        self.library = _library(path) if verify else None
         self.table = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
 
     @staticmethod
@@ -175,22 +186,34 @@ class Codec:
             return (MARK if self.model.add_dummy_prefix else "") + text.replace(" ", MARK)
         return self.normaliser.normalize_str(text)
 
-    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+    def split(self, texts: Iterable[str]) -> list[list[str]]:
+        """The texts' words; after this, memory holds the ids of all of them."""
         split = [self.words.findall(self.normalised(t)) for t in texts]
-        new = list({w for words in split for w in words} - self.memory.keys())
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memory[w] = struct.pack(f"<{len(e)}I", *e.ids)
-        get = self.memory.__getitem__
-        out = [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        return out
+        new = list(set().union(*split).difference(self.memory))
+        for lo in range(0, len(new), 20_000):
+            part = new[lo : lo + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, ids))
+            if self.library and not self.across:
+                lead = 1 if self.model.add_dummy_prefix else 0  # the library puts the marker back
+                theirs = self.library.encode([w[lead:] if w[:1] == MARK else w for w in part], num_threads=1)
+                self.odd.update(w for w, x, y in zip(part, ids, theirs) if x != y)
+        return split
+
+    def joined(self, words: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.memory.__getitem__, words)), np.uint32)
+
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
+        return [self.joined(words) for words in self.split(texts)]
+
+    def raw(self, ids: np.ndarray) -> bytes:
+        text = b"".join(map(self.table.__getitem__, ids.tolist()))
+        return text[1:] if self.model.add_dummy_prefix and text[:1] == b" " else text
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.add_dummy_prefix and text[:1] == " " else text
+        return self.raw(ids).decode("utf-8", "replace")
 
     def library_decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -206,47 +229,47 @@ def mismatches(path: str, texts: list[str]) -> list[int]:
 
 
 @lru_cache(2)
-def _codec(path: str, threads: int) -> Codec:
-    return Codec(path, threads)
-
-
-@lru_cache(2)
-def _library(path: str):
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+def _codec(path: str, threads: int, verify: bool = False) -> Codec:
+    return Codec(path, threads, verify)
 
 
-def _encoded(path: str, threads: int, verify: bool, with_ids: bool):
+def _encoded(path: str, threads: int, verify: bool, with_ids: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, threads)
-        own = _library(path) if verify else None
+        codec = _codec(path, threads, verify)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
-                ids = codec.encode(texts)
-                same = [a.tolist() == b for a, b in zip(ids, own.encode(texts, num_threads=1))] if verify else [None] * len(ids)
-                back = [codec.decode(a) for a in ids]
-                plain = [codec.normalised(t).replace(MARK, " ") for t in texts]
-                trips = [b == (p[1:] if codec.model.add_dummy_prefix else p) for b, p in zip(back, plain)]
-                crcs = [zlib.crc32(a.astype("<u4").tobytes()) for a in ids]
-                lists = pa.array([a.astype(np.int32) for a in ids] if with_ids else [None] * len(ids), pa.list_(pa.int32()))
+                words = codec.split(texts)
+                ids = [codec.joined(w) for w in words]
+                same = [None] * len(ids)
+                if verify and codec.across:
+                    same = [a.tolist() == b for a, b in zip(ids, codec.library.encode(texts, num_threads=1))]
+                elif verify:
+                    same = [not codec.odd or codec.odd.isdisjoint(w) for w in words]
+                back = [codec.raw(a) for a in ids]
+                lead = 1 if codec.model.add_dummy_prefix else 0
+                plain = texts if codec.plain else [codec.normalised(t)[lead:] for t in texts]
+                trips = [b == p.replace(MARK, " ").encode() for b, p in zip(back, plain)]
+                crcs = [zlib.crc32(a) for a in ids]
+                lists = pa.array([a.astype(np.int32) if with_ids else None for a in ids], pa.list_(pa.int32()))
+                shown = pa.array([b.decode("utf-8", "replace") if with_text else None for b in back], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 256), pa.array([len(a) for a in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), pa.array(back), lists],
+                    [batch.column(0).slice(lo, 256), pa.array([len(a) for a in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), shown, lists],
                     ["id", "n_ids", "ids_crc32", "round_trip", "parity", "decoded", "ids"],
                 )
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True, with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True, with_ids: bool = True, with_text: bool = True) -> DataFrame:
     """One row per row of docs: (id, n_ids, ids_crc32, round_trip, parity, decoded, ids).
 
     round_trip: decoding gives the normalised text again; parity (null unless verify): the sentencepiece library gives
-    the same ids. Null and empty texts have no ids. Null ids and repeated rows are encoded like others; whole texts,
+    the same ids. It is asked about each new word, and as no piece of the vocabulary crosses words, texts agree where
+    their words do; for a model with pieces across words it is asked about whole texts. Null and empty texts have no ids. Null ids and repeated rows are encoded like others; whole texts,
     one pass, no shuffle; a worker holds a few hundred texts and a bounded memory of words.
     """
-    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify, with_ids), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
+    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify, with_ids, with_text), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
     return out.withColumnRenamed("id", id)
 
 
