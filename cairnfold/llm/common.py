@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The characters that separate words: space and U+0009 to U+000D.
 BLANKS = b" \t\n\x0b\f\r"
 #: Bytes of text that one vectorised step works on, so that a Python worker's memory is bounded.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -59,18 +59,23 @@ def slots(spark: SparkSession) -> int:
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string or binary column in one array, and offsets (rows + 1); null counts as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    wide = pa.large_binary()
-    column = pc.fill_null(column.cast(pa.large_string()) if pa.types.is_string(column.type) else column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
-    column = column.cast(wide) if column.type != wide else column
+    """The bytes of a string or binary column in one array, and offsets (rows + 1); null counts as empty. Nothing is copied."""
+    if column.null_count:
+        column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    offs = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, for steps that make Python objects of them."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `limit` bytes, or of one longer row."""
     lo, n = 0, len(offsets) - 1

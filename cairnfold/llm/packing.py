@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import portions, save
 
 #: Fixed value: how byte-level BPE of this family cuts text before merging.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -48,7 +48,8 @@ def _encoders(path: str):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    spec = json.load(open(path, encoding="utf-8"))
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
     fast = None
     if spec["model"]["type"] == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer"):
         import tiktoken
@@ -83,7 +84,7 @@ class Encoder:
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, row = Encoder(path), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in portions(batches):
             cols: list[list] = [[] for _ in range(7)]
             for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, _STEP, byte_view, drop, mix, save, slices, to_long
+from .common import _BYTE, _STEP, byte_view, drop, mix, portions, save, slices, to_long
 from .induced_sort import permuted_prefixes, suffix_array
 
 #: Bytes whose hash may stand for a window.
@@ -145,7 +145,7 @@ def _bodies(length: int):
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in portions(batches):
             buf, offsets = byte_view(batch.column(2))
             data = buf.tobytes()
             cols: list[list] = [[], [], [], [], [], []]
@@ -161,7 +161,7 @@ def _bodies(length: int):
                         seen.add((h, mark))
                     for c, x in zip(cols, (h, mark, id_, text, at, body if fresh else None)):
                         c.append(x)
-                if len(seen) > 500_000:
+                if len(seen) > 100_000:
                     seen.clear()
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), pa.array(cols[5], pa.binary())], ["hash", "body_hash", "id", "text", "at", "body"])
 
@@ -247,7 +247,7 @@ def _whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[i
 
 def _cut(length: int):
     def run(batches):
-        for batch in batches:
+        for batch in portions(batches):
             out: list[list] = [[], [], [], [], [], []]
             for id_, text, spans, copy in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 data = (text or "").encode("utf-8", "surrogatepass")
