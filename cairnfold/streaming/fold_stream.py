@@ -58,4 +58,5 @@ class FoldProcessor(StatefulProcessor):
 
 def fold_stream(deliveries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Dispositions with the state after each, from deliveries with payload, initial_cursor and trusted."""
+    assert deliveries.sparkSession.streams.active is not None  # starts what keeps state stores, also for a batch frame
     return deliveries.groupBy(*KEY).transformWithStateInPandas(FoldProcessor(limits.checked()), OUTPUT, "append", "none")
