@@ -60,6 +60,8 @@ def slots(spark: SparkSession) -> int:
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column in one array, and offsets (rows + 1); null counts as empty. Nothing is copied."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
