@@ -38,7 +38,7 @@ def _deal(queue: list[list[np.ndarray]], s: np.ndarray, p: np.ndarray) -> None:
 
 
 def _cat(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
 def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
@@ -79,7 +79,7 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
             p = left[c][::-1] - 1
             p = p[p >= 0]
             _deal(queue, s, p[is_s[p]])
-    out.append(np.array([len(s) - 1]))
+    out.append(np.array([len(s) - 1], np.int32))
     return np.concatenate(out[::-1])
 
 
@@ -117,14 +117,14 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of symbols 0 to k - 1, of which the last, 0, occurs once."""
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     is_s = _types(s)
-    lms = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)  # places take 32 bits: shards are small
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     sorted_ = _induce(s, is_s, lms, k)
     sorted_ = sorted_[is_lms[sorted_]]
-    size = np.empty(n, np.int64)
+    size = np.empty(n, np.int32)
     size[lms[:-1]] = np.diff(lms) + 1
     size[lms[-1]] = 1
     a, b = sorted_[:-1], sorted_[1:]
@@ -137,7 +137,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
         differs[live[unequal]] = True
         live = live[~unequal]
         j += 1
-    names_at = np.empty(n, np.int64)
+    names_at = np.empty(n, np.int32)
     names_at[sorted_] = np.concatenate([[0], np.cumsum(differs)])
     names = names_at[lms]
     count = int(names.max()) + 1
@@ -152,13 +152,13 @@ def permuted_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.nda
 
     `text` is bytes, with at least limit bytes after each start in order.
     """
-    before = np.full(len(text), -1, np.int64)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
     p = np.sort(order)
     q = before[p]
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((len(text),), dtype="<u8", buffer=padded, strides=(1,))
-    common = np.zeros(len(text), np.int64)
+    common = np.zeros(len(text), np.int32)
     live = np.flatnonzero(q >= 0)
     done = 0
     while len(live) and done < limit:

@@ -26,7 +26,7 @@ K = 32
 #: Window starts of a region at most; longer runs (periodic text) become several regions.
 RUN = 400
 #: Bytes of text that one shard's suffix array is built over, about; a hash with more goes the way of single windows.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 _LAST = 2**63 - 1
 _REGION = np.dtype([("row", np.int64), ("hash", np.uint64), ("start", np.int64), ("count", np.int64)])
 
@@ -179,15 +179,15 @@ def _sorted_shard(length: int):
         s = raw.astype(np.int16) + 2
         s[base + sizes] = 1
         order = suffix_array(np.append(s, np.int16(0)), 258)
-        owner = np.repeat(np.arange(len(bodies)), sizes + 1)
-        offset = np.arange(len(raw)) - base[owner]
+        owner = np.repeat(np.arange(len(bodies), dtype=np.int32), sizes + 1)
+        offset = (np.arange(len(raw)) - base[owner]).astype(np.int32)
         order = order[order < len(raw)]
         order = order[offset[order] + length <= sizes[owner[order]]]
         common = permuted_prefixes(np.append(raw, np.zeros(length, np.uint8)), order, length)
         ids, texts, begin = pdf["id"].to_numpy(), pdf["text"].to_numpy(), (pdf["at"].to_numpy() >> 10)
         own = owner[order]
         place = begin[own] + offset[order]
-        rank = np.empty(len(order), np.int64)
+        rank = np.empty(len(order), np.int32)
         by = np.lexsort((place, texts[own], ids[own]))
         same = np.concatenate([[False], (ids[own[by[1:]]] == ids[own[by[:-1]]]) & (texts[own[by[1:]]] == texts[own[by[:-1]]]) & (place[by[1:]] == place[by[:-1]])])
         rank[by] = np.cumsum(~same)
