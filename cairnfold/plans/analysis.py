@@ -24,8 +24,9 @@ class Trace:
 
 def assemble(records: DataFrame, decisions: DataFrame, limits: Limits = Limits()) -> tuple[Trace, DataFrame]:
     """Tables from decoded records, without the traces that fail; and the first failure of each of those."""
+    records = settled(records, "records")
     streams, envelopes, schedules = normalize.streams(records), normalize.envelopes(records), normalize.schedules(records)
-    found = validate.first_failures(validate.violations(records, streams, envelopes, schedules, limits, decisions))
+    found = settled(validate.first_failures(validate.violations(records, streams, envelopes, schedules, limits, decisions)), "failures")
     sound = lambda df: df.join(found.select("trace"), "trace", "left_anti")
     streams = normalize.with_authority(sound(streams), decisions)
     return Trace(streams, normalize.placed(sound(envelopes), streams), sound(schedules), sound(records)), found
