@@ -197,11 +197,18 @@ class Codec:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
             self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, ids))
             if self.library and not self.across:
-                lead = 1 if self.model.add_dummy_prefix else 0  # the library puts the marker back
-                theirs = self.library.encode([w[lead:] if w[:1] == MARK else w for w in part], num_threads=1)
+                theirs = self._asked(part)
                 self.odd.update(w for w, x, y in zip(part, ids, theirs) if x != y)
         return split
 
+    def _asked(self, words: list[str]) -> list[list[int]]:
+        """The sentencepiece library's ids of words: it puts a first marker back; markers alone are asked behind a letter."""
+        lead = 1 if self.model.add_dummy_prefix else 0
+        first = len(self.library.encode("x"))
+        bare = [not w.strip(MARK) for w in words]
+        ids = self.library.encode(["x" + w if b else w[lead:] if w[:1] == MARK else w for w, b in zip(words, bare)], num_threads=1)
+        return [x[first:] if b else x for x, b in zip(ids, bare)]
+
     def joined(self, words: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.memory.__getitem__, words)), np.uint32)
 

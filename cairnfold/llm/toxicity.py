@@ -111,6 +111,8 @@ def marking(stats: Stats) -> np.ndarray:
 def fit(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, grade: np.ndarray, ids: np.ndarray, steps: int = 400, ridge: float = 2e-5) -> OrdinalModel:
     """Fit thresholds and weights of the features ids[feats] by maximum likelihood (Adam on the whole sample)."""
     n, top = len(grade), int(grade.max(initial=0))
+    if not n:
+        return OrdinalModel(ids, np.zeros(len(ids)), np.array([40.0]))
     r, f, x = rows, feats, np.log1p(counts)
     k = max(1, top)
     w = np.zeros(len(ids))
