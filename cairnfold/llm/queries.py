@@ -124,6 +124,31 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 """
 
 
+_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), n AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d
+), w AS (
+  SELECT doc_id, unnest(range(0, n_bytes - 99)) AS pos, h FROM n WHERE n_bytes >= 100
+), g AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * pos + 1, 200)) ORDER BY doc_id, pos) > 1 AS late FROM w
+), p AS (
+  SELECT doc_id, unnest(range(0, n_bytes)) AS pos, h FROM n
+), c AS (
+  SELECT p.doc_id, p.pos, substr(p.h, 2 * p.pos + 1, 2) AS byte,
+         coalesce(max(CASE WHEN g.late THEN p.pos END) OVER (PARTITION BY p.doc_id ORDER BY p.pos) > p.pos - 100, false) AS gone
+  FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos
+), s AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM c
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+         coalesce(string_agg(byte, '' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM s GROUP BY doc_id
+)
+SELECT n.doc_id, n.n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans, sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256
+FROM n LEFT JOIN r ON r.doc_id = n.doc_id
+"""
+
 _OP9 = r"""
 WITH d AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) || '00' AS hex,
@@ -142,4 +167,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op6_minhash": _OP6, "op9_warc": _OP9}
+    return {"op5_exact_dedup": _OP5, "op6_minhash": _OP6, "op7_suffix_dedup": _OP7, "op9_warc": _OP9}

@@ -149,7 +149,7 @@ def grades(hits: np.ndarray, toxic: np.ndarray, levels: int = 3) -> np.ndarray:
     return out
 
 
-def calibrated(severity: np.ndarray, toxic: np.ndarray, weight: float = 1.0) -> float:
+def calibrated(severity: np.ndarray, toxic: np.ndarray, weight: float = 2.0) -> float:
     """The expected severity at which rejecting loses least: a clean row rejected costs `weight` missed toxic rows."""
     order = np.argsort(-severity, kind="stable")
     gain = np.cumsum(np.where(toxic[order] > 0, 1.0, -weight))
