@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from .functions.keys import reason_names
 from .limits import Limits
 from .operators import compare, faults, fold, normalize, relational, validate
 from .plans.analysis import Trace, both_sides, comparison, deliveries, fold_delivered, once
-from .scratch import settled
+from .scratch import folder, settled
 from .sources import bridge, jsonl
 from .streaming.fold_stream import fold_stream
 
@@ -166,6 +167,33 @@ def trace_summary(spark, sf_dir):
     return s.join(e, "trace").join(work, "trace").select("trace", (F.col("streams") + F.col("envelopes") + 2).alias("records"), "streams", "envelopes", F.lit(1).cast("long").alias("fault_schedules"), "fault_actions", F.col("work").alias("schedule_work"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bridge's records, through JSON text and the decoder."""
+    events, limits = _events(spark, sf_dir), Limits()
+    return settled(_decoded(bridge.json_lines(bridge.streams(events), bridge.envelopes(events), limits.trace_format), limits), "records")
+
+
+@_query("SELECT trace, 'other' AS route, 1 AS records FROM env GROUP BY trace UNION ALL SELECT trace, 'stream', count(*) FROM st GROUP BY trace UNION ALL SELECT trace, 'envelope', count(*) FROM env GROUP BY trace")
+def record_routes(spark, sf_dir):
+    return normalize.routes(_records(spark, sf_dir)).groupBy("trace", "route").agg(F.count("*").alias("records"))
+
+
+@_query("""SELECT e.trace, 1 + s.n + e.n AS records, s.n AS streams, e.n AS envelopes, s.bytes + e.bytes AS identity_bytes, 'omitted' AS redaction
+  FROM (SELECT trace, count(*) AS n, sum(strlen(envelope_id)) AS bytes FROM env GROUP BY trace) e
+  JOIN (SELECT trace, count(*) AS n, sum(2 * strlen(stream_id) + strlen(trace) + 8) AS bytes FROM st GROUP BY trace) s USING (trace)""")
+def identity_budget(spark, sf_dir):
+    r = _records(spark, sf_dir)
+    return validate.summaries(r, normalize.schedules(r)).select("trace", "records", "streams", "envelopes", "identity_bytes", "redaction")
+
+
+@_query("SELECT e.trace, 1 + s.n + e.n AS lines, 0 AS failures FROM (SELECT trace, count(*) AS n FROM env GROUP BY trace) e JOIN (SELECT trace, count(*) AS n FROM st GROUP BY trace) s USING (trace)")
+def jsonl_sink_and_scan(spark, sf_dir):
+    """Canonical lines written, a folder per trace, and scanned again under the default ceilings."""
+    path = f"{folder(spark)}/lines-{uuid.uuid4().hex}"
+    jsonl.write_canonical(_records(spark, sf_dir), path)
+    return jsonl.read_lines(spark, path).groupBy("trace").agg(F.sum(F.col("error").isNull().cast("long")).alias("lines"), F.sum(F.col("error").isNotNull().cast("long")).alias("failures"))
+
+
 # ---- trace-wide rules
 
 
@@ -224,6 +252,12 @@ def occurrence_allocation(spark, sf_dir):
     return faults.plans(t.schedules, t.envelopes).where("action = 'duplicate'").select("trace", *_long("source_idx", "first_occurrence", "copies"))
 
 
+@_query("SELECT trace, source_idx, 1 AS occurrence FROM env WHERE event_id % 13 = 5")
+def created_occurrences(spark, sf_dir):
+    t = once(_trace(spark, sf_dir))
+    return faults.created(faults.plans(t.schedules, t.envelopes)).select("trace", *_long("source_idx", "occurrence"))
+
+
 # ---- fault schedules
 
 
@@ -423,9 +457,7 @@ def delivered_fold(spark, sf_dir):
 @_query()
 def canonical_jsonl_roundtrip(spark, sf_dir):
     """Every record of the bridge as a line, decoded, encoded canonically, decoded again."""
-    events, limits = _events(spark, sf_dir), Limits()
-    once_ = _decoded(bridge.json_lines(bridge.streams(events), bridge.envelopes(events), limits.trace_format), limits)
-    once_ = settled(once_, "records")
+    limits, once_ = Limits(), _records(spark, sf_dir)
     again = _decoded(once_.select("trace", "record_no", F.col("canonical_line").alias("value")), limits)
     return once_.select("trace", "record_no", "kind", F.col("canonical_line").alias("line")).join(again.select("trace", "record_no", F.col("canonical_line").alias("line2")), ["trace", "record_no"]).select("trace", "record_no", "kind", (F.col("line") == F.col("line2")).alias("same"))
 

@@ -63,7 +63,10 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def trace_name(path: str) -> str:
-    return os.path.basename(path.rstrip("/")).removesuffix(".jsonl")
+    """A trace is named by its file, or by the folder that write_canonical made for it."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    parent = os.path.basename(folder)
+    return parent.removeprefix("trace=") if parent.startswith("trace=") else name.removesuffix(".jsonl")
 
 
 def read_lines(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
@@ -82,7 +85,7 @@ def read_lines(spark: SparkSession, path: str, limits: Limits = Limits()) -> Dat
                 if rows:
                     yield _batch(rows, schema)
 
-    files = spark.read.format("binaryFile").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, LINES)
 
 
