@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, components, drop, mix, save, shingle_hashes, slices, to_long, word_hashes, words_of
+from .common import byte_view, components, drop, mix, save, shingle_hashes, slices, to_long, trim, word_hashes, words_of
 
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64(2**32 - 1)
@@ -92,6 +92,7 @@ def _sketches(k: int, bands: int, rows: int):
             sizes = np.array([0 if x is None else bands for x in keys], np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(to_long(np.array(hi, np.uint64))), pa.array(to_long(np.array(lo, np.uint64))), lists], ["id", "n", "hi", "lo", "keys"])
+            trim()
 
     return run
 
@@ -117,6 +118,7 @@ def _sets(k: int, hints):
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "words"])
+            trim()
 
     return run
 

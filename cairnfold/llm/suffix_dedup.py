@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, _STEP, byte_view, drop, mix, portions, save, slices, to_long
+from .common import _BYTE, _STEP, byte_view, drop, mix, portions, save, slices, to_long, trim
 from .induced_sort import permuted_prefixes, suffix_array
 
 #: Bytes whose hash may stand for a window.
@@ -122,6 +122,7 @@ def _marks(length: int):
                 marks += [own[row[new]], ~own[row[twice]]]
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(marks))], ["hash", "mark"])
+            trim()
 
     return run
 
@@ -136,6 +137,7 @@ def _places(length: int):
                 r = regions(buf, offs, length)
                 if len(r):
                     yield pa.RecordBatch.from_arrays([pa.array(to_long(r["hash"])), pa.array(ids[lo + r["row"]]), pa.array(texts[lo + r["row"]]), pa.array(r["start"] * 1024 + r["count"])], ["hash", "id", "text", "at"])
+            trim()
 
     return run
 
@@ -194,6 +196,8 @@ def _sorted_shard(length: int):
         group = np.flatnonzero(np.concatenate([[True], common[1:] < length]))
         least = np.repeat(np.minimum.reduceat(rank, group), np.diff(np.append(group, len(order))))
         late = np.sort(order[rank != least])
+        del order, common, rank, least, place, own, by, same, group, raw, s
+        trim()
         if not len(late):
             return pd.DataFrame({"id": [], "text": [], "lo": [], "hi": []}, dtype="int64")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(late) > 1]))
