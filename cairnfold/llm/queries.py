@@ -125,20 +125,18 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JO
 
 
 _OP7 = r"""
-WITH d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), n AS (
-  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM d
-), w AS (
-  SELECT doc_id, unnest(range(0, n_bytes - 99)) AS pos, h FROM n WHERE n_bytes >= 100
-), g AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY md5_number(substr(h, 2 * pos + 1, 200)) ORDER BY doc_id, pos) > 1 AS late FROM w
+WITH n AS (
+  SELECT doc_id, h, length(h) // 2 AS n_bytes FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+), pieces AS (
+  SELECT doc_id, n_bytes, b, substr(h, 2 * b + 1, 398) AS piece FROM (SELECT doc_id, n_bytes, h, unnest(range(0, n_bytes, 100)) AS b FROM n)
 ), p AS (
-  SELECT doc_id, unnest(range(0, n_bytes)) AS pos, h FROM n
+  SELECT doc_id, b + o AS pos, substr(piece, 2 * o + 1, 2) AS byte,
+         CASE WHEN b + o + 100 <= n_bytes THEN md5_number(substr(piece, 2 * o + 1, 200)) END AS w
+  FROM (SELECT doc_id, n_bytes, b, piece, unnest(range(0, least(100, n_bytes - b))) AS o FROM pieces)
+), g AS (
+  SELECT doc_id, pos, byte, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS late FROM p
 ), c AS (
-  SELECT p.doc_id, p.pos, substr(p.h, 2 * p.pos + 1, 2) AS byte,
-         coalesce(max(CASE WHEN g.late THEN p.pos END) OVER (PARTITION BY p.doc_id ORDER BY p.pos) > p.pos - 100, false) AS gone
-  FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos
+  SELECT doc_id, pos, byte, coalesce(max(CASE WHEN late THEN pos END) OVER (PARTITION BY doc_id ORDER BY pos) > pos - 100, false) AS gone FROM g
 ), s AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), false) AS opens FROM c
 ), r AS (
