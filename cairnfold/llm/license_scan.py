@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,28 +69,36 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved."),
 ]
-#: What a line must hold for it to become a candidate.
-CLUES = r"(?i)licen[cs]|copyright|all rights reserved|public domain|creative commons|\bCC[ -]?(?:BY|0)|permission|redistribut|free software|waived"
-#: Characters of a block at most; longer lines are looked at around each clue.
+_GAP = r"[^0-9A-Za-z,.:]"
+#: What a text must hold for a place to become a candidate; line ends and comment signs may lie between the words.
+CLUES = rf"(?i)licen[cs]|copyright|all{_GAP}+rights{_GAP}+reserved|public{_GAP}+domain|creative{_GAP}+commons|\bCC{_GAP}*(?:BY|0)|permission|redistribut|free{_GAP}+software|waived"
+#: Characters around a clue in which its notice is sought on each side (the longest template has under 600); lines longer than this are looked at around each clue.
 REACH = 1500
 LEVEL = 9
-#: Templates, best reductions first, whose wording is compared.
+#: Templates, best reductions first, of which the closest describes a block without a confirmed notice.
 RANKED = 3
 #: Words of a template that may differ, in hundredths.
 SLACK = 10
+#: Templates of fewer words must be there word for word; a notice may hold as many other words between its own as it has words, or this many.
+SHORT = 12
 
 _clue = re.compile(CLUES)
-_word = re.compile(r"[0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*")
+#: A word may be broken behind a hyphen at the end of a line.
+_broken = r"-[ \t\r]*\n[ \t#*/;%>|!]*"
+_word = re.compile(rf"[0-9A-Za-z]+(?:(?:{_broken}|[.\-])[0-9A-Za-z]+)*")
+_mend = re.compile(_broken)
+_tail = re.compile(r"[^\s0-9A-Za-z]*")
 
 
 def words(text: str) -> list[str]:
-    return [w.lower() for w in _word.findall(text)]
+    return [_mend.sub("-", w).lower() for w in _word.findall(text)]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """Candidate blocks: runs of lines with clues (one line without may lie between), or surroundings of clues in long lines."""
     out: list[list[int]] = []
     at = quiet = 0
+    spread = sorted(x for m in _clue.finditer(text) if "\n" in m[0] for x in (m.start(), m.end() - 1))  # clues over line ends count in their first and last lines
     for line in text.split("\n"):
         end = at + len(line)
         if len(line) > REACH:
@@ -98,7 +109,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
                 else:
                     out.append([lo, hi])
             quiet = 9
-        elif _clue.search(line):
+        elif _clue.search(line) or bisect_left(spread, at) < bisect_left(spread, end):
             if out and quiet <= 1 and out[-1][1] < at and end - out[-1][0] <= 4 * REACH:
                 out[-1][1] = end
             else:
@@ -110,6 +121,42 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def regions(text: str, cores: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The blocks with REACH characters on both sides, joined where they meet."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in cores:
+        lo, hi = max(0, lo - REACH), min(len(text), hi + REACH)
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def windows(template: np.ndarray, own: np.ndarray, slack: int) -> list[tuple[int, int, int]]:
+    """Shortest runs of own words that hold the template's in order, with 0 to slack of them missing: (first, last, missing).
+
+    Exact. state[k][j] is the latest start of a run that ends before word j and lacks at most k of the template's words
+    so far; n stands for a run not begun.
+    """
+    n = len(own)
+    here = np.arange(n, dtype=np.int64)
+    state = [np.full(n + 1, n, np.int64) for _ in range(slack + 1)]
+    for i, word in enumerate(template):
+        at = own == word
+        new = []
+        for k in range(slack + 1):
+            begun = np.where(state[k][:-1] == n, here, state[k][:-1])
+            ends = np.concatenate([[-1], np.maximum.accumulate(np.where(at, begun, -1))])
+            new.append(np.maximum(ends, state[k - 1]) if k else ends)
+        state = new
+    out = []
+    for k, s in enumerate(state):
+        last = np.flatnonzero(s[1:] > s[:-1])
+        out += [(int(s[j + 1]), int(j), k) for j in last if s[j + 1] < n]
+    return out
+
+
 @dataclass
 class Verdict:
     license: str | None
@@ -119,6 +166,8 @@ class Verdict:
     missing: int
     extra: int
     wording: list[str]
+    lo: int = 0  # characters of the notice
+    hi: int = 0
 
     @property
     def reduction(self) -> float:
@@ -136,27 +185,99 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(**options)
         self.given = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options) for _, text in templates]
         self.words = [words(text) for _, text in templates]
+        self.counts = [Counter(w) for w in self.words]
+        self.codes = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
 
     def sizes(self, block: bytes) -> tuple[int, list[int]]:
         return len(self.plain.compress(block)), [len(c.compress(block)) for c in self.given]
 
+    def notices(self, text: str, lo: int = 0, hi: int | None = None) -> list[Verdict]:
+        """Every template whose wording text[lo:hi] has, wherever it has it; not those whose words another's match holds."""
+        hi = len(text) if hi is None else hi
+        spans = [m.span() for m in _word.finditer(text, lo, hi)]
+        if lo and spans and spans[0][0] == lo and _word.match(text[lo - 1]):  # words that the ends cut
+            spans.pop(0)
+        if spans and spans[-1][1] == hi and _word.match(text[hi : hi + 1]):
+            spans.pop()
+        own = [_mend.sub("-", text[a:b]).lower() for a, b in spans]
+        there = Counter(own)
+        coded = np.array([self.codes.get(w, -1) for w in own], np.int64)
+        hits = []
+        for t, template in enumerate(self.words):
+            size = len(template)
+            slack = size * SLACK // 100 if size >= SHORT else 0
+            if sum((self.counts[t] - there).values()) > slack:  # more words are missing than may
+                continue
+            code = np.array([self.codes[w] for w in template], np.int64)
+            runs = [(b - a + 1 - (size - k), k, a, b) for a, b, k in windows(code, coded, slack)]
+            taken: list[tuple[int, int]] = []
+            for extra, missing, a, b in sorted((x for x in runs if x[0] <= max(size, SHORT)), key=lambda x: (x[0] + x[1], *x[1:])):
+                if all(b < c or d < a for c, d in taken):
+                    taken.append((a, b))
+                    hits.append((frozenset(a + x for x in aligned(template, own[a : b + 1])[1]), missing, extra, t, a, b))
+        hits.sort(key=lambda x: (-len(x[0]), *x[1:]))
+        kept: list[tuple] = []
+        for hit in hits:
+            name = self.templates[hit[3]][0]
+            if not any(hit[0] <= k[0] or (self.templates[k[3]][0] == name and hit[0] & k[0]) for k in kept):
+                kept.append(hit)
+        # a wording with gaps that is made up of words of better ones is none of its own
+        kept = [h for h in kept if not h[0] <= frozenset().union(*(k[0] for k in kept if k[1] + k[2] < h[1] + h[2]))]
+        out = []
+        for _, _, _, t, a, b in sorted(kept, key=lambda x: (x[4], x[5], x[3])):
+            start, end = spans[a][0], _tail.match(text, spans[b][1], hi).end()
+            at_t, at_o = (set(x) for x in aligned(self.words[t], own[a : b + 1]))
+            missing = [w for i, w in enumerate(self.words[t]) if i not in at_t]
+            extra = [w for i, w in enumerate(own[a : b + 1]) if i not in at_o]
+            notice = text[start:end].encode("utf-8", "surrogatepass")
+            out.append(Verdict(self.templates[t][0], t, len(self.plain.compress(notice)), len(self.given[t].compress(notice)), len(missing), len(extra), [*(f"-{w}" for w in missing), *(f"+{w}" for w in extra)], start, end))
+        return out
+
     def judge(self, block: str) -> Verdict:
-        """The template that shrinks the block most among those whose wording it has; else the best one, unconfirmed."""
+        """The confirmed notice with fewest words missing, then most words; else the closest template, unconfirmed."""
+        found = self.notices(block)
+        return min(found, key=lambda v: (v.missing, -len(self.words[v.template]))) if found else self.closest(block)
+
+    def closest(self, block: str) -> Verdict:
+        """Of the templates that shrink the block most, the one with fewest words missing. Nothing is confirmed here."""
         plain, given = self.sizes(block.encode("utf-8", "surrogatepass"))
         own = words(block)
         ranked = sorted(range(len(given)), key=lambda t: (given[t], len(self.words[t]), t))
-        # equal reductions share a rank, so that a tie never hides the right template
+        # equal reductions share a rank
         limit = given[ranked[min(RANKED, len(ranked)) - 1]]
         best: tuple | None = None
         for t in (t for t in ranked if given[t] <= limit):
             missing, extra, wording = differences(self.words[t], own)
-            confirmed = missing * 100 <= SLACK * len(self.words[t]) and (len(self.words[t]) >= 12 or missing == 0)
-            key = (not confirmed, missing, given[t], -len(self.words[t]), t)
+            key = (missing, given[t], -len(self.words[t]), t)
             if best is None or key < best[0]:
-                best = (key, Verdict(self.templates[t][0] if confirmed else None, t, plain, given[t], missing, extra, wording))
+                best = (key, Verdict(None, t, plain, given[t], missing, extra, wording))
         return best[1]
 
 
+def aligned(template: list[str], own: list[str]) -> tuple[list[int], list[int]]:
+    """Places in both of a longest common run of words in order."""
+    if template == own:
+        return list(range(len(own))), list(range(len(own)))
+    table = [[0] * (len(own) + 1)]
+    for w in reversed(template):
+        row, below = [0] * (len(own) + 1), table[-1]
+        for j in range(len(own) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if own[j] == w else max(below[j], row[j + 1])
+        table.append(row)
+    table.reverse()
+    at_t, at_o, i, j = [], [], 0, 0
+    while i < len(template) and j < len(own):
+        if template[i] == own[j]:
+            at_t.append(i)
+            at_o.append(j)
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return at_t, at_o
+
+
 def differences(template: list[str], own: list[str]) -> tuple[int, int, list[str]]:
     """Words of the template that the block lacks, words that the block has among them, and these as -word and +word."""
     blocks_ = [m for m in difflib.SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if m.size]
@@ -187,21 +308,36 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for n, (lo, hi) in enumerate(blocks(text)):
-                block = text[lo:hi]
-                v = memory.get(block) or scanner.judge(block)
-                if len(block) < 200 and len(memory) < 10_000:
-                    memory[block] = v
-                rows.append((id_, n, lo, hi - lo, v.license, v.license is not None, v.plain, v.given, v.reduction, v.missing, v.extra, v.wording, block))
+            cores = blocks(text)
+            found = [v for lo, hi in regions(text, cores) for v in scanner.notices(text, lo, hi)]
+            owned: dict[int, list[Verdict]] = {}
+            touched = set()
+            for v in found:
+                at = [n for n, (lo, hi) in enumerate(cores) if v.lo < hi and lo < v.hi]
+                touched.update(at)
+                # a notice over several blocks belongs to the first
+                owned.setdefault(at[0] if at else min(range(len(cores)), key=lambda n: max(cores[n][0] - v.hi, v.lo - cores[n][1])), []).append(v)
+            for n, (lo, hi) in enumerate(cores):
+                for v in sorted(owned.get(n, ()), key=lambda v: (v.missing, -v.hi + v.lo))[:1]:
+                    rows.append((id_, n, v.lo, v.hi - v.lo, v.license, True, v.plain, v.given, v.reduction, v.missing, v.extra, v.wording, text[v.lo : v.hi]))
+                if n not in touched and n not in owned:
+                    block = text[lo:hi]
+                    v = memory.get(block) or scanner.closest(block)
+                    if len(block) < 200 and len(memory) < 10_000:
+                        memory[block] = v
+                    rows.append((id_, n, lo, hi - lo, None, False, v.plain, v.given, v.reduction, v.missing, v.extra, v.wording, block))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
 def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """One row per candidate block: (id, block, start, length, license, confirmed, plain_bytes, given_bytes, reduction, missing, extra, wording, notice).
+    """One row per notice found and per candidate block without one: (id, block, start, length, license, confirmed, plain_bytes, given_bytes, reduction, missing, extra, wording, notice).
 
-    start and length are in characters of the whole text. license is null where no template's wording is confirmed; the
-    sizes and word differences are then those of the template that came closest. Documents without a clue, null and
+    A notice is a template's words in order, at most a tenth of them missing (none of short ones), with as many other words
+    among them at most. Every template is sought in each block and its surroundings; block is the first block that the
+    notice meets. start, length and notice are in characters of the whole text: the notice's own, or, where license is
+    null, those of the block in which no wording is confirmed; the sizes and word differences are then those of the
+    template that came closest. Documents without a clue, null and
     empty texts give no row. Null ids and repeated rows are scanned like others. One pass, no shuffle.
     """
     rows = docs.where(F.col(text).rlike(CLUES)).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
