@@ -318,7 +318,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # a notice over several blocks belongs to the first
                 owned.setdefault(at[0] if at else min(range(len(cores)), key=lambda n: max(cores[n][0] - v.hi, v.lo - cores[n][1])), []).append(v)
             for n, (lo, hi) in enumerate(cores):
-                for v in sorted(owned.get(n, ()), key=lambda v: (v.missing, -v.hi + v.lo))[:1]:
+                for v in owned.get(n, ()):
                     rows.append((id_, n, v.lo, v.hi - v.lo, v.license, True, v.plain, v.given, v.reduction, v.missing, v.extra, v.wording, text[v.lo : v.hi]))
                 if n not in touched and n not in owned:
                     block = text[lo:hi]

@@ -44,3 +44,11 @@ def test_wrapped_notices(width, sign):
 
 def test_standard_layout():
     assert "MIT" in found([MIT])[0]
+
+
+def test_several_notices():
+    bsd = "Released under the BSD 3-Clause License."
+    texts = ["Licensed under the MIT license.\n" + bsd, "All rights reserved.\n" + bsd, "x " * 900 + "Licensed under the MIT license. All rights reserved. " + bsd + " x" * 900]
+    assert found(texts) == [{"MIT", "BSD-3-Clause"}, {"proprietary", "BSD-3-Clause"}, {"MIT", "proprietary", "BSD-3-Clause"}]
+    pairs = [(a, b) for a in TEMPLATES for b in TEMPLATES]
+    assert found([f"{a[1]}\n{b[1]}" for a, b in pairs]) == [{a[0], b[0]} for a, b in pairs]
