@@ -1,5 +1,6 @@
 """Notices as they are laid out in files, several at once, and in long lines."""
 
+import random
 import textwrap
 
 import pyarrow as pa
@@ -52,3 +53,14 @@ def test_several_notices():
     assert found(texts) == [{"MIT", "BSD-3-Clause"}, {"proprietary", "BSD-3-Clause"}, {"MIT", "proprietary", "BSD-3-Clause"}]
     pairs = [(a, b) for a in TEMPLATES for b in TEMPLATES]
     assert found([f"{a[1]}\n{b[1]}" for a, b in pairs]) == [{a[0], b[0]} for a, b in pairs]
+
+
+def test_short_notices_in_long_lines():
+    rng = random.Random(3)
+    prose = " ".join(t for n, t in TEMPLATES if len(t) > 200)
+    vocab = sorted({w for w in license_scan.words(prose)} - {"all", "rights", "reserved"})
+    texts = []
+    for _ in range(60):
+        w = [rng.choice(vocab) for _ in range(1200)]
+        texts.append(" ".join(w[:600] + ["All rights reserved."] + w[600:]))
+    assert all("proprietary" in x for x in found(texts))
