@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_view, drop, mix, save, slices, word_hashes, words_of
@@ -108,6 +108,15 @@ def marking(stats: Stats) -> np.ndarray:
     return (stats.toxic / n1 >= 0.01) & (stats.toxic / n1 > 15 * (stats.clean + 1) / n0)
 
 
+def telling(n1: int, n0: int) -> Column:
+    """chosen() or marking() of columns toxic and clean, for Spark; by a hair wider, so that rounding loses no feature."""
+    toxic, clean, a, b = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(max(1, n1)), float(max(1, n0))
+    share = (toxic + clean + 1) / (n1 + n0 + 2)
+    z = F.abs(toxic / a - clean / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b))
+    evident = (z >= EVIDENCE * (1 - 1e-9)) & (toxic + clean >= 5)
+    return evident | ((toxic / a >= 0.01 * (1 - 1e-9)) & (toxic / a > 15 * (clean + 1) / b * (1 - 1e-9)))
+
+
 def fit(rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, grade: np.ndarray, ids: np.ndarray, steps: int = 400, ridge: float = 2e-5) -> OrdinalModel:
     """Fit thresholds and weights of the features ids[feats] by maximum likelihood (Adam on the whole sample)."""
     n, top = len(grade), int(grade.max(initial=0))
@@ -203,8 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     rows = save(docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id").select("id", "toxic", "text"), "rated")
     n1, n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     held = rows.mapInArrow(_held, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("toxic + clean >= 5")
-    gap = F.abs(F.col("toxic") / max(1, n1) - F.col("clean") / max(1, n - n1)) * (max(1, min(n1, n - n1)) ** 0.5)
-    table = held.where(gap >= 0.2).orderBy("feature").toArrow()  # far below what counts as evidence
+    table = held.where(telling(n1, n - n1)).orderBy("feature").toArrow()
     stats = Stats(*(table[c].to_numpy() for c in ("feature", "toxic", "clean")), n1, n - n1)
     use = chosen(stats) | marking(stats)
     ids, good, mark = stats.ids[use], chosen(stats)[use], marking(stats)[use]
