@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import portions, save
 
-#: Fixed value: how byte-level BPE of this family cuts text before merging.
-WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Runs longer than this go to the tokenizers library, whose merging doesn't slow down on them.
-LONG_RUN = regex.compile(r"\S{1000}|\s{1000}")
-#: Texts of each task whose ids are compared with the tokenizers library's before the fast path is trusted.
-PROBES = 8
+#: Characters of one text that the library gets at once; longer texts are cut where a word surely ends.
+LONG = 1 << 16
+#: A word of letters ends here, whatever stands before or behind; no special token is cut.
+WORD_END = regex.compile(r"(?<=\p{L})(?=[\s.,;:!?])")
+#: Characters of one call of the library, about.
+CALL = 1 << 20
 #: Pieces of one block, on which islands evolve; blocks are many, never larger.
 BLOCK = 4096
 ISLANDS = 3
@@ -35,50 +35,57 @@ POPULATION = 4
 # ---------------------------------------------------------------- token pieces
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The printable stand-ins of bytes in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @lru_cache(4)
-def _encoders(path: str):
-    """The tokenizers library's encoder, and a faster one with the same vocabulary where it has the same rules."""
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    fast = None
-    if spec["model"]["type"] == "BPE" and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer"):
-        import tiktoken
+    return Tokenizer.from_file(path)
 
-        alphabet = _byte_alphabet()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("pieces", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return slow, fast
 
+def parts(text: str) -> Iterator[str]:
+    """The text in parts whose ids, one after the other, are the text's: cut behind words, if it is long."""
+    at = 0
+    while len(text) - at > LONG and (m := WORD_END.search(text, at + LONG)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
-class Encoder:
-    """Token ids as the tokenizers library gives them, special tokens added to none."""
 
-    def __init__(self, path: str):
-        self.slow, self.fast = _encoders(path)
-        self.probes = PROBES
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or LONG_RUN.search(text):
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        ids = self.fast.encode_to_numpy(text, allowed_special="all")
-        if self.probes and len(text) < 20_000:
-            self.probes -= 1
-            exact = np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-            if not np.array_equal(ids, exact):
-                self.fast = None
-                return exact
-        return ids.astype(np.uint32, copy=False)
+class Encoder:
+    """Token ids as the tokenizers library gives them, special tokens added to none; one multithreaded call for many texts."""
+
+    def __init__(self, path: str, threads: int = 2):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+        self.library = _tokenizer(path)
+
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        waiting: list[str] = []
+        sizes: list[int] = []
+        room = CALL
+        for text in texts:
+            before = len(waiting)
+            for part in parts(text):
+                if room <= 0 and before == len(waiting):
+                    yield from self._called(waiting, sizes)
+                    waiting, sizes, room, before = [], [], CALL, 0
+                waiting.append(part)
+                room -= len(part)
+            sizes.append(len(waiting) - before)
+        yield from self._called(waiting, sizes)
+
+    def _called(self, waiting: list[str], sizes: list[int]) -> Iterator[np.ndarray]:
+        ids: list[np.ndarray] = []
+        at = room = 0
+        for n, part in enumerate(waiting):  # parts of a very long text take several calls
+            room += len(part)
+            if room >= CALL or n == len(waiting) - 1:
+                ids += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(waiting[at : n + 1], add_special_tokens=False)]
+                at, room = n + 1, 0
+        at = 0
+        for n in sizes:
+            yield ids[at] if n == 1 else np.concatenate(ids[at : at + n])
+            at += n
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
@@ -86,8 +93,8 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
         encode, row = Encoder(path), TaskContext.get().partitionId() << 40
         for batch in portions(batches):
             cols: list[list] = [[] for _ in range(7)]
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
+            for id_, own in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
+                ids = np.append(own, np.uint32(end)).astype("<u4")
                 lead = len(ids) % capacity or capacity
                 cuts = [0, *range(lead, len(ids) + 1, capacity)]
                 for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -199,11 +200,33 @@ def test_genetic_packing_improves_and_keeps_items():
     assert np.bincount(out, weights=sizes).max() <= 2048 and packing.fitness(out, sizes, 2048) > packing.fitness(first, sizes, 2048)
 
 
-def test_encoder_special_tokens_and_long_runs():
+def test_encoder_special_tokens_and_long_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    slow, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["", "a<|endoftext|>b  ", "   \n\n x", "é" * 1500, "1" * 3000 + " ok", "日本語 🙂", "it's we'll'dx <|endoftext|> a.b,c  d\t e " * 40, *(t or "" for _, t in ROWS)]
+    want = [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode(texts)] == want
+    monkeypatch.setattr(packing, "LONG", 5)
+    monkeypatch.setattr(packing, "CALL", 40)
+    assert max(len(list(packing.parts(t))) for t in texts) > 100 and all("".join(packing.parts(t)) == t for t in texts)
+    assert [x.tolist() for x in encode(texts)] == want
+
+
+def test_ids_of_a_whole_table():
+    """The ids of every text of the smallest table, pinned."""
+    import pyarrow.parquet as pq
+
+    table = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("needs the given tables")
+    from tokenizers import Tokenizer
+
     path = vocabulary("byte_bpe_50k.json")
-    encode = packing.Encoder(path)
-    for t in ["", "a<|endoftext|>b  ", "   \n\n x", "é" * 1500, "1" * 3000 + " ok", "日本語 🙂"]:
-        assert encode(t).tolist() == encode.slow.encode(t, add_special_tokens=False).ids
+    texts = [t or "" for t in pq.read_table(table, columns=["text"])["text"].to_pylist()]
+    slow = Tokenizer.from_file(path)
+    assert [x.tolist() for x in packing.Encoder(path)(texts)] == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def statistics(t):
