@@ -6,7 +6,7 @@ import math
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import portions, save
+from .common import drop, portions, save
 
 #: Characters of one text that the library gets at once; longer texts are cut where a word surely ends.
 LONG = 1 << 16
@@ -258,7 +258,7 @@ def _met(capacity: int, epoch: int):
 
 
 def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block's best packing, each piece's bin and offset."""
+    """Of each block's best packing, each piece's bin and offset, and whether its bin is the block's emptiest."""
     for batch in batches:
         for block, rows, sizes, packing in zip(*(batch.column(i).to_pylist() for i in range(4))):
             bins, sizes = np.array(packing, np.int64), np.array(sizes, np.int64)
@@ -268,22 +268,13 @@ def _laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.flatnonzero(np.concatenate([[True], bins[order][1:] != bins[order][:-1]]))
             offset = np.empty(len(bins), np.int64)
             offset[order] = starts - np.repeat(starts[first], np.diff(np.append(first, len(bins))))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array((block << 32) + bins), pa.array(offset)], ["row", "sequence_id", "offset"])
+            loose = bins == np.bincount(bins, weights=sizes).argmin()
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(sizes, pa.int64()), pa.array((block << 32) + bins), pa.array(offset), pa.array(loose)], ["row", "length", "sequence_id", "offset", "loose"])
 
 
-def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
-    """A place for each piece: pieces (unique row, length up to capacity, ...) with sequence_id and offset (gapless from 0).
-
-    Full pieces are sequences of their own. The others are dealt by a hash to blocks of about BLOCK pieces, however
-    many pieces there are; on each block ISLANDS populations evolve as tasks of their own, and after each epoch an
-    island's elite migrates to the next. A block's best packing wins. An island stops once it has as few bins as the
-    lower bound allows. Every choice is seeded by block, island and epoch, so a lost task repeats its work exactly.
-    An empty table gives an empty table.
-    """
-    part = pieces.where(F.col("length") < capacity)
-    count = part.count()
-    blocks = max(1, math.ceil(count / BLOCK))
-    items = part.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "length")
+def _evolved(items: DataFrame, blocks: int, capacity: int) -> DataFrame:
+    """Places of pieces (row, length), packed block by block: (row, length, sequence_id, offset, loose)."""
+    items = items.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "length")
     islands = items.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
     state = save(islands.groupBy("block", "island").applyInPandas(_settled(capacity), _STATE), "islands")
     for epoch in range(EPOCHS):
@@ -293,11 +284,39 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
             break
         moved = live.unionByName(live.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")).withColumn("elite", F.lit(True)))
         rest = state.join(done.where("done").select("block"), "block", "left_semi")
-        state = save(moved.groupBy("block", "island").applyInPandas(_met(capacity, epoch), _STATE).unionByName(rest), "islands")
+        after = save(moved.groupBy("block", "island").applyInPandas(_met(capacity, epoch), _STATE).unionByName(rest), "islands")
+        drop(state)
+        state = after
     best = state.groupBy("block").agg(F.min_by(F.struct("rows", "sizes", F.col("packings")[0].alias("packing")), F.struct("bins", "island")).alias("best"))
-    places = best.select("block", "best.rows", "best.sizes", "best.packing").mapInArrow(_laid_out, "row long, sequence_id long, offset long")
+    places = save(best.select("block", "best.rows", "best.sizes", "best.packing").mapInArrow(_laid_out, "row long, length long, sequence_id long, offset long, loose boolean"), "places")
+    drop(state)
+    return places
+
+
+def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """A place for each piece: pieces (unique row, length up to capacity, ...) with sequence_id and offset (gapless from 0).
+
+    Full pieces are sequences of their own. The others are dealt by a hash to blocks of about BLOCK pieces, however
+    many pieces there are; on each block ISLANDS populations evolve as tasks of their own, and after each epoch an
+    island's elite migrates to the next. A block's best packing wins. An island stops once it has as few bins as the
+    lower bound allows. What the emptiest bin of each block holds is dealt to blocks again, and those are packed in the
+    same way, until there is one block: so the blocks' half-empty last bins don't add up. Every choice is seeded by
+    block, island and epoch, so a lost task repeats its work exactly. An empty table gives an empty table.
+    """
+    part = pieces.where(F.col("length") < capacity)
+    items, done, number = part.select("row", "length"), [], 0
+    while True:
+        blocks = max(1, math.ceil(items.count() / BLOCK))
+        places = _evolved(items, blocks, capacity)
+        settled = places.select("row", (F.col("sequence_id") + (number << 60)).alias("sequence_id"), "offset", "loose")
+        number += 1
+        if blocks == 1:
+            done.append(settled.drop("loose"))
+            break
+        done.append(settled.where("not loose").drop("loose"))
+        items = places.where("loose").select("row", "length")
     full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
-    return part.join(places, "row").unionByName(full)
+    return part.join(reduce(DataFrame.unionByName, done), "row").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", id: str = "doc_id", with_ids: bool = False) -> DataFrame:

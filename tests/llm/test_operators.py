@@ -191,6 +191,21 @@ def test_packing(spark, docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_last_bins_of_blocks_are_packed_together(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 8)
+    sizes = [random.Random(n).randint(100, 1900) for n in range(160)]
+    pieces = spark.createDataFrame(list(enumerate(sizes)), "row long, length long")
+    got = packing.pack(pieces, 2048).collect()
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert sorted((r.row, r.length) for r in got) == list(enumerate(sizes))
+    for x in bins.values():
+        assert [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:j]) for j in range(len(x))] and sum(n for _, n in x) <= 2048
+    apart = len(packing._evolved(pieces, 20, 2048).select("sequence_id").distinct().collect())
+    assert len(bins) < apart
+
+
 def test_genetic_packing_improves_and_keeps_items():
     rng = np.random.default_rng(2)
     sizes = np.concatenate([rng.integers(600, 1100, 300), rng.integers(300, 700, 200)])
