@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -18,12 +20,18 @@ from pyspark.sql import functions as F
 
 from .common import drop, portions, save
 
-#: Characters of one text that the library gets at once; longer texts are cut where a word surely ends.
+#: The white space of the byte-level pattern, and the pattern itself, for ASCII and for all texts.
+WHITE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+WORDS = r"'(?:[stmd]|re|ve|ll)| ?[L]+| ?[N]+| ?[^WLN]+|[W]+(?![^W])|[W]+"
+ASCII_WORDS = re.compile(WORDS.replace("W", " \\t-\\r").replace("L", "A-Za-z").replace("N", "0-9"))
+ALL_WORDS = regex.compile(WORDS.replace("W", WHITE).replace("L", r"\p{L}").replace("N", r"\p{N}"))
+#: Characters of a text that are looked at at once; longer texts are cut where a word surely ends, whatever stands before or behind.
 LONG = 1 << 16
-#: A word of letters ends here, whatever stands before or behind; no special token is cut.
 WORD_END = regex.compile(r"(?<=\p{L})(?=[\s.,;:!?])")
-#: Characters of one call of the library, about.
+#: Characters of texts whose new words go to the library together, about.
 CALL = 1 << 20
+#: Words whose ids a worker remembers; beyond it, it starts anew.
+MEMORY = 1_000_000
 #: Pieces of one block, on which islands evolve; blocks are many, never larger.
 BLOCK = 4096
 ISLANDS = 3
@@ -35,13 +43,6 @@ POPULATION = 4
 # ---------------------------------------------------------------- token pieces
 
 
-@lru_cache(4)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 def parts(text: str) -> Iterator[str]:
     """The text in parts whose ids, one after the other, are the text's: cut behind words, if it is long."""
     at = 0
@@ -52,45 +53,76 @@ def parts(text: str) -> Iterator[str]:
 
 
 class Encoder:
-    """Token ids as the tokenizers library gives them, special tokens added to none; one multithreaded call for many texts."""
+    """Token ids as the tokenizers library gives them, special tokens added to none.
+
+    A byte-level vocabulary encodes each word (a match of its pattern) by itself. So texts are cut into words here, the
+    words that a worker has not met go to the library, in one multithreaded call for many texts, and their ids are
+    remembered. Of each new character the library is asked whether the pattern takes it for a letter, a number, white
+    space or none of these; texts with a character that it sees in another way, or with a special token's name, and all
+    texts under a file with other rules, go to the library whole.
+    """
 
     def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
-        self.library = _tokenizer(path)
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        rules = spec.get("pre_tokenizer") or {}
+        self.by_word = rules.get("type") == "ByteLevel" and rules.get("use_regex", True) and not rules.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
+        self.known: set[str] = set(map(chr, range(128)))
+        self.strange: set[str] = set()
+        self.memory: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
-        waiting: list[str] = []
-        sizes: list[int] = []
-        room = CALL
-        for text in texts:
-            before = len(waiting)
-            for part in parts(text):
-                if room <= 0 and before == len(waiting):
-                    yield from self._called(waiting, sizes)
-                    waiting, sizes, room, before = [], [], CALL, 0
-                waiting.append(part)
-                room -= len(part)
-            sizes.append(len(waiting) - before)
-        yield from self._called(waiting, sizes)
-
-    def _called(self, waiting: list[str], sizes: list[int]) -> Iterator[np.ndarray]:
-        ids: list[np.ndarray] = []
-        at = room = 0
-        for n, part in enumerate(waiting):  # parts of a very long text take several calls
-            room += len(part)
-            if room >= CALL or n == len(waiting) - 1:
-                ids += [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(waiting[at : n + 1], add_special_tokens=False)]
-                at, room = n + 1, 0
-        at = 0
-        for n in sizes:
-            yield ids[at] if n == 1 else np.concatenate(ids[at : at + n])
-            at += n
+        lo = room = 0
+        for hi, text in enumerate(texts, 1):
+            room += len(text)
+            if room >= CALL or hi == len(texts):
+                yield from self._encoded(texts[lo:hi])
+                lo, room = hi, 0
+
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, or None if it has to go to the library whole."""
+        if not self.by_word or self.special.search(text):
+            return None
+        if text.isascii():
+            return ASCII_WORDS.findall(text)
+        met = set(text)
+        if not met <= self.known:
+            self._meet(met - self.known)
+        return ALL_WORDS.findall(text) if self.strange.isdisjoint(met) else None
+
+    def _meet(self, characters: set[str]) -> None:
+        cut = self.library.pre_tokenizer.pre_tokenize_str
+        for c in characters:
+            theirs = [len(cut(x + c + x)) == 1 for x in "a1!"]
+            ours = [len(ALL_WORDS.findall(x + c + x)) == 1 for x in "a1!"]
+            if theirs != ours:
+                self.strange.add(c)
+        self.known |= characters
+
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.memory) > MEMORY:
+            self.memory.clear()
+        every = [[(x, self.words(x)) for x in parts(t)] for t in texts]
+        new = list(set().union(*(w if w is not None else (x,) for own in every for x, w in own)).difference(self.memory))
+        self.memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
+        for own in every:
+            yield np.frombuffer(b"".join(map(self.memory.__getitem__, (y for x, w in own for y in (w if w is not None else (x,))))), np.uint32)
+
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, row = Encoder(path), TaskContext.get().partitionId() << 40
+        encode, row = _encoder(path), TaskContext.get().partitionId() << 40
         for batch in portions(batches):
             cols: list[list] = [[] for _ in range(7)]
             for id_, own in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()])):
