@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space and U+0009 to U+000D.
@@ -23,19 +23,33 @@ SLICE_BYTES = 1 << 18
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder shared by driver and executors: spark.checkpoint.dir; only where it is unset, as in tests on one machine, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="cairnfold-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is there when the session's JVM ends is deleted with it."""
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(p.getParent())
+    store.mkdirs(p)  # only what exists can be marked
+    store.deleteOnExit(p)
+    store.delete(p, True)
+    return path
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cairnfold_path = path
@@ -56,6 +70,70 @@ def slots(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+# ---------------------------------------------------------------- bitmaps of fixed size
+
+#: Bits of a map over hashes, and of one row of its table: the whole table has 8 MB, whatever the corpus.
+MAP_BITS = 1 << 26
+_ROW_BITS = 1 << 15
+
+
+def _bit(hash: Column) -> Column:
+    return F.pmod(hash, F.lit(MAP_BITS))
+
+
+def bitmap(hashes: DataFrame) -> DataFrame:
+    """A written bitmap (part, bits) over the long column of hashes: what isn't in it is not among them."""
+    bit = hashes.toDF("h").select(_bit(F.col("h")).alias("h"))
+    rows = bit.withColumn("part", F.floor(F.col("h") / _ROW_BITS).cast("int")).repartition("part")
+    return save(rows.groupBy("part").agg(F.bitmap_construct_agg(F.col("h") % _ROW_BITS).alias("bits")), "bitmap")
+
+
+def split(df: DataFrame, hash: Column, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose hash may be in the bitmap, and those whose hash is not. The bitmap is broadcast; no row moves."""
+    at = _bit(hash)
+    part = F.broadcast(bits.select(F.col("part").alias("_part"), F.col("bits").alias("_bits")))
+    rows = df.withColumn("_at", at).withColumn("_part", F.floor(F.col("_at") / _ROW_BITS).cast("int")).join(part, "_part", "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor((F.col("_at") % _ROW_BITS) / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    there = F.coalesce(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1, F.lit(False))
+    return rows.where(there).select(df.columns), rows.where(~there).select(df.columns)
+
+
+def likely(df: DataFrame, hash: Column, bits: DataFrame) -> DataFrame:
+    """The rows of df whose hash may be in the bitmap."""
+    return split(df, hash, bits)[0]
+
+
+def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows of df whose key (a long) is not in the one column of gone. Only rows that a bitmap lets through are moved."""
+    gone = save(gone.toDF("_gone").where("_gone is not null").distinct(), "gone")
+    maybe, surely = split(df, F.coalesce(F.xxhash64(key), F.lit(0)), bitmap(gone.select(F.xxhash64("_gone"))))
+    return surely.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
+
+
+# ---------------------------------------------------------------- rows
+
+
+def numbered(docs: DataFrame, id: str = "doc_id", name: str = "_tie") -> tuple[DataFrame, int]:
+    """docs with a column that tells rows apart: 0 where no other row has the id; else, and for null ids, a number > 0 of the row's own. And the largest id.
+
+    Rows without an id of their own are written, so that their numbers stay; where all have one, nothing is.
+    """
+    own = F.col(id).cast("long")
+    counts = docs.groupBy(own.alias("_id")).agg(F.count("*").alias("n"))
+    shared = save(counts.where("n > 1 or _id is null").select("_id"), "shared")
+    top = docs.agg(F.max(own)).first()[0] or 0
+    plain = docs.withColumn(name, F.lit(0).cast("long"))
+    if shared.isEmpty():
+        return plain, top
+    bits = bitmap(shared.where("_id is not null").select(F.xxhash64("_id")))
+    maybe, surely = split(docs.where(own.isNotNull()), F.xxhash64(own), bits)
+    ids = shared.where("_id is not null")
+    single = surely.unionByName(maybe.join(ids, own == F.col("_id"), "left_anti"))
+    rest = docs.where(own.isNull()).unionByName(maybe.join(ids, own == F.col("_id"), "left_semi"))
+    rest = save(rest.withColumn(name, F.monotonically_increasing_id() + 1), "numbered")
+    return single.withColumn(name, F.lit(0).cast("long")).unionByName(rest), top
+
+
 # ---------------------------------------------------------------- Arrow text
 
 
@@ -108,7 +186,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 IS_BLANK = np.zeros(256, bool)
 IS_BLANK[list(BLANKS)] = True
-_POWERS = np.ones(1, np.uint64)
+#: _MASKS[k] keeps the first k bytes of eight.
+_MASKS = np.array([2 ** (8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+_LONG_WORD = 1024
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,13 +199,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, 4096), _STEP, np.uint64))]).astype(np.uint64)
-    return _POWERS
-
-
 def words_of(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all words in the rows: start and end in buf, and the row they are in."""
     edge = np.empty(len(buf) + 1, bool)
@@ -145,23 +219,90 @@ def words_of(buf: np.ndarray, offsets: np.ndarray, blank: np.ndarray = IS_BLANK)
     return starts, ends, rows
 
 
+def text_parts(buf: np.ndarray, blank: np.ndarray = IS_BLANK, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of about `limit` bytes that cut one text where it has a blank, so that no word is in two of them."""
+    lo, n = 0, len(buf)
+    while lo < n:
+        hi = min(lo + limit, n)
+        while hi < n:
+            gap = np.flatnonzero(blank[buf[hi : hi + limit]])
+            if len(gap):
+                hi += int(gap[0])
+                break
+            hi = min(hi + limit, n)
+        yield lo, hi
+        lo = hi
+
+
+def is_long(buf: np.ndarray, offsets: np.ndarray) -> bool:
+    """Whether this is one text (a slice of its own) that is to be looked at part by part."""
+    return len(offsets) == 2 and len(buf) > 2 * SLICE_BYTES
+
+
+def _sum_of_eights(buf: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """What word_hashes sums over the eights of one word."""
+    total, at = np.zeros(1, np.uint64), 0
+    for a in range(lo, hi, 1 << 19):
+        piece = buf[a : min(a + (1 << 19), hi)]
+        eights = np.zeros(-(-len(piece) // 8) * 8, np.uint8)
+        eights[: len(piece)] = piece
+        x = mix(eights.view("<u8"))
+        total += mix(x + np.arange(at, at + len(x), dtype=np.uint64) * _STEP).sum(dtype=np.uint64)
+        at += len(x)
+    return total
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z lowered on demand)."""
+    """A 64-bit hash of each word's bytes (A-Z lowered on demand): eight bytes at a time are mixed, then mixed with their place."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    total = int(sizes.sum())
-    first = np.cumsum(sizes) - sizes
-    at = np.arange(total) - np.repeat(first, sizes)
-    data = buf[np.repeat(starts, sizes) + at]
     if lower:
-        data = _LOWER[data]
-    vals = _BYTE[data] * powers(int(sizes.max()) + 1)[at]
-    return mix(np.add.reduceat(vals, first) + sizes.astype(np.uint64) * _M2)
+        buf = _LOWER[buf]
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    total = mix(mix(eights[starts] & _MASKS[np.minimum(sizes, 8)]))
+    live, j = np.flatnonzero((sizes > 8) & (sizes <= _LONG_WORD)), 1
+    while len(live):
+        left = sizes[live] - 8 * j
+        total[live] += mix(mix(eights[starts[live] + 8 * j] & _MASKS[np.minimum(left, 8)]) + np.uint64(j * int(_STEP) % 2**64))
+        live, j = live[left > 8], j + 1
+    for i in np.flatnonzero(sizes > _LONG_WORD).tolist():
+        total[i : i + 1] = _sum_of_eights(buf, int(starts[i]), int(ends[i]))
+    return mix(total + sizes.astype(np.uint64) * _M2)
+
+
+def hashed_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = IS_BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word and the row it is in. A long text is looked at part by part."""
+    if not is_long(buf, offsets):
+        starts, ends, rows = words_of(buf, offsets, blank)
+        return word_hashes(buf, starts, ends, lower), rows
+    out = []
+    for lo, hi in text_parts(buf, blank):
+        part = buf[lo:hi]
+        starts, ends, _ = words_of(part, np.array([0, hi - lo]), blank)
+        out.append(word_hashes(part, starts, ends, lower))
+    words = np.concatenate(out)
+    return words, np.zeros(len(words), np.int32)
+
+
+def _runs(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each run of k words, some at a time."""
+    out = np.empty(max(0, len(words) - k + 1), np.uint64)
+    for lo in range(0, len(out), 1 << 16):
+        hi = min(lo + (1 << 16), len(out))
+        h = np.zeros(hi - lo, np.uint64)
+        for j in range(k):
+            h = mix(h * _STEP + words[lo + j : hi + j])
+        out[lo:hi] = h
+    return out
 
 
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each run of k words within a row; a row of 1 to k-1 words gives its whole sequence. Second: the rows."""
+    """Hashes of each run of k words within a row; a row of 1 to k-1 words gives its whole sequence. Second: the rows, rising."""
+    if n_rows == 1 and len(words) >= k:
+        h = _runs(words, k)
+        return h, np.zeros(len(h), np.int32)
     counts = np.bincount(rows, minlength=n_rows) if len(rows) else np.zeros(n_rows, np.int64)
     if not len(words):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -169,10 +310,7 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) ->
     out_h, out_r = [], []
     if len(words) >= k:
         ok = rows[k - 1 :] == rows[: len(rows) - k + 1]
-        h = np.zeros(len(words) - k + 1, np.uint64)
-        for j in range(k):
-            h = mix(h * _STEP + words[j : len(words) - k + 1 + j])
-        out_h.append(h[ok])
+        out_h.append(_runs(words, k)[ok])
         out_r.append(rows[: len(rows) - k + 1][ok])
     short = np.flatnonzero((counts > 0) & (counts < k))
     for size in np.unique(counts[short]):
@@ -183,8 +321,10 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) ->
         out_h.append(h)
         out_r.append(which)
     h, r = np.concatenate(out_h), np.concatenate(out_r)
-    order = np.argsort(r, kind="stable")
-    return h[order], r[order]
+    if len(short):
+        order = np.argsort(r, kind="stable")
+        h, r = h[order], r[order]
+    return h, r
 
 
 def to_long(x: np.ndarray) -> np.ndarray:

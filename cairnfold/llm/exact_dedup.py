@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import bitmap, likely, save, split
 
 #: Deleted before texts are compared: space and U+0009 to U+000D.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -17,43 +17,69 @@ def normalised(text: Column, ignored: str = IGNORED) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), ignored, "")
 
 
+def _rows(docs: DataFrame, text: str, id: str, ignored: str) -> DataFrame:
+    """docs with each row's id, code points, normalised text and its SHA-256."""
+    key = normalised(F.col(text), ignored)
+    own = docs.withColumns({"_id": F.col(id).cast("long"), "_n": F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("decimal(10,0)"), "_key": key})
+    return own.withColumn("_sha", F.unhex(F.sha2("_key", 256)))
+
+
+def _groups(docs: DataFrame, text: str, id: str, ignored: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: all rows (_id, _sha); groups of two or more (_sha, keep_id, most, group_size); a bitmap of their hashes.
+
+    Hashes alone are counted first, so only texts whose 128 bits occur twice are moved to have their bytes compared.
+    """
+    shift = F.lit(Decimal(2**64)).cast("decimal(20,0)")
+    hash_ = F.substring("_sha", 1, 16)
+    every = _rows(docs, text, id, ignored)
+    light = save(every.select("_id", "_sha"), "hashes")
+    twice = light.groupBy(hash_.alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    bits = bitmap(twice.select(F.xxhash64("_h")))
+    some = likely(every.select("_id", "_n", "_key", hash_.alias("_h")), F.xxhash64("_h"), bits)
+    # more code points first, then the smaller id, as one number, which a hash aggregate can keep in place
+    best = F.max(F.col("_n") * shift - F.col("_id").cast("decimal(20,0)"))
+    most = F.max(F.when(F.col("_id").isNotNull(), F.col("_n")))
+    groups = some.groupBy("_h", "_key").agg(best.alias("_best"), most.alias("_most"), F.max("_n").alias("most"), F.count("*").alias("group_size")).where("group_size > 1")
+    keep = (F.col("_most") * shift - F.col("_best")).cast("long").alias("keep_id")
+    return light, save(groups.select(F.unhex(F.sha2("_key", 256)).alias("_sha"), keep, F.coalesce("_most", "most").alias("most"), "group_size"), "copies"), bits
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", ignored: str = IGNORED) -> DataFrame:
     """One row per row of docs: (id, keep_id, group_size, kept, text_sha256).
 
     Rows are grouped by the leading 128 bits of the normalised text's SHA-256 together with its bytes, so rows whose
-    hashes collide stay apart; partial aggregation collapses copies before they move, so a text that a third of the
-    rows share costs one row per task. The row with the most code points in its original text, then with the smallest
-    id, stays. The way back from groups to rows moves hashes only, and a hot hash's rows are dealt by the skew join.
+    hashes collide stay apart; only texts whose hash occurs twice (a bitmap tells, in 8 MB, at worst of too many) are
+    moved, and partial aggregation collapses copies before that, so a text that a third of the rows share costs one
+    row per task. The row with the most code points in its original text, then with the smallest id, stays. The way
+    back from groups to rows moves hashes only, and a hot hash's rows are dealt by the skew join.
 
     Null text is the empty text; all texts without other characters are equal. Rows with a null id count in
     group_size but stay only if their group has no id at all (keep_id is null then). Rows that repeat an id share its
     result. An empty table gives an empty table; other columns are not looked at.
     """
-    shift = F.lit(Decimal(2**64)).cast("decimal(20,0)")
-    key = normalised(F.col(text), ignored)
-    own = F.col(id).cast("long")
-    size = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("decimal(10,0)")
-    rows = docs.select(own.alias("_id"), size.alias("_n"), key.alias("_key"))
-    hashed = rows.select("_id", "_n", "_key", F.unhex(F.substring(F.sha2("_key", 256), 1, 32)).alias("_h"))
-    # more code points first, then the smaller id, as one number, which a hash aggregate can keep in place
-    best = F.max(F.col("_n") * shift - F.col("_id").cast("decimal(20,0)"))
-    most = F.max(F.when(F.col("_id").isNotNull(), F.col("_n")))
-    groups = (
-        hashed.groupBy("_h", "_key")
-        .agg(best.alias("_best"), most.alias("_most"), F.count("*").alias("group_size"))
-        .select(F.unhex(F.sha2("_key", 256)).alias("_sha"), (F.col("_most") * shift - F.col("_best")).cast("long").alias("keep_id"), "group_size")
-    )
-    # groups of one need no way back: their row is its own keeper
-    groups = save(groups.where("group_size > 1"), "copies")
-    return (
-        docs.select(own.alias(id), F.sha2(key, 256).alias("text_sha256"))
-        .withColumn("_sha", F.unhex("text_sha256"))
-        .join(groups, "_sha", "left")
-        .select(
-            id,
-            F.when(F.col("group_size").isNull(), F.col(id)).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-            F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col(id).eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "text_sha256",
-        )
+    light, groups, _ = _groups(docs, text, id, ignored)
+    alone = F.col("group_size").isNull()
+    return light.join(groups, "_sha", "left").select(
+        F.col("_id").alias(id),
+        F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.when(alone, F.lit(True)).otherwise(F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        F.lower(F.hex("_sha")).alias("text_sha256"),
     )
+
+
+def distinct_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", ignored: str = IGNORED) -> DataFrame:
+    """Of each group of rows with equal normalised texts exactly one row of docs, with all its columns.
+
+    It is the row that exact_dedup() keeps; where several rows have its id and as many code points (rows that repeat an
+    id, or null ids in a group without any id), the least of them in the order of all columns, and wholly equal rows
+    are collapsed to one. Rows with texts of their own pass without being moved. Null text is the empty text. An empty
+    table gives an empty table.
+    """
+    _, groups, bits = _groups(docs, text, id, ignored)
+    maybe, surely = split(_rows(docs, text, id, ignored), F.xxhash64(F.substring("_sha", 1, 16)), bits)
+    met = maybe.drop("_key").join(groups, "_sha", "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    alone = met.where("group_size is null").select(own)
+    best = met.where("group_size is not null and _id <=> keep_id and _n = most").select("_sha", F.struct(*own).alias("row"))
+    return surely.select(own).unionByName(alone).unionByName(best.groupBy("_sha").agg(F.min("row").alias("row")).select("row.*"))

@@ -1,19 +1,16 @@
-"""Suffix arrays by induced sorting, vectorised bucket by bucket, and permuted common prefixes.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 Suffixes are classified as S or L; the leftmost S ones (LMS) are sorted by their substrings with two inducing scans,
-named, and the string of names is sorted in turn; two more scans induce the whole array from it. A scan handles one
-bucket at a time: everything that a bucket induces is one array operation, and what it induces into itself takes one
-more operation for each repeated symbol. The string of names is sorted by the same routine while its alphabet is
-small; with many names a bucket holds a few suffixes only, and ranks are doubled instead, which gives the same order.
+named, and the string of names is sorted by the same routine, recursively, until all names differ; two more scans
+induce the whole array from it. Every level is linear. On bytes a scan handles one bucket at a time: everything that a
+bucket induces is one array operation, and what it induces into itself takes one more operation for each repeated
+symbol. Names have small buckets, so their scans go suffix by suffix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the string of names is sorted by inducing again; beyond it by rank doubling.
-SMALL_ALPHABET = 1024
-
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True for S suffixes; the last is S."""
@@ -83,36 +80,52 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
     return np.concatenate(out[::-1])
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """The suffix order of a string of names, by doubling the length that ranks stand for; settled suffixes rest."""
-    n = len(names)
-    sa = np.argsort(names, kind="stable")
-    v = names[sa]
-    start = np.concatenate([[True], v[1:] != v[:-1]])
-    place = np.flatnonzero(start)
-    group = place[np.cumsum(start) - 1]
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[sa] = group
-    size = np.diff(np.append(place, n))
-    at = np.flatnonzero(np.repeat(size > 1, size))  # places in sa that aren't settled
-    h = 1
-    while len(at):
-        p = sa[at]
-        key = rank[np.minimum(p + h, n)]
-        mine = rank[p]
-        order = np.lexsort((key, mine))
-        p, key, mine = p[order], key[order], mine[order]
-        sa[at] = p
-        start = np.concatenate([[True], (key[1:] != key[:-1]) | (mine[1:] != mine[:-1])])
-        place = np.flatnonzero(start)
-        rank[p] = at[place][np.cumsum(start) - 1]
-        size = np.diff(np.append(place, len(p)))
-        at = at[np.repeat(size > 1, size)]
-        h *= 2
+def _induce_names(s: list[int], is_s: list[bool], lms: list[int], k: int) -> list[int]:
+    """The same two scans over a string of names, suffix by suffix."""
+    sizes = np.bincount(s, minlength=k)
+    ends = np.cumsum(sizes)
+    sa = [-1] * len(s)
+    tail = ends.tolist()
+    for p in reversed(lms):
+        c = s[p]
+        tail[c] -= 1
+        sa[tail[c]] = p
+    head = (ends - sizes).tolist()
+    for i in range(len(s)):
+        p = sa[i] - 1
+        if p >= 0 and not is_s[p]:
+            c = s[p]
+            sa[head[c]] = p
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(len(s) - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and is_s[p]:
+            c = s[p]
+            tail[c] -= 1
+            sa[tail[c]] = p
     return sa
 
 
+def names_array(s: list[int], k: int) -> list[int]:
+    """The suffix array of names 0 to k - 1, of which the last, 0, occurs once; recursive while names repeat."""
+    n = len(s)
+    if k == n:  # all names differ: their order is that of the suffixes
+        return np.argsort(s).tolist()
+    is_s = _types(np.array(s))
+    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).tolist()
+    place = dict(zip(lms, range(len(lms))))
+    is_s = is_s.tolist()
+    sorted_ = [p for p in _induce_names(s, is_s, lms, k) if p in place]
+    names, name, before = [0] * len(lms), 0, sorted_[0]
+    end = dict(zip(lms, [*(p + 1 for p in lms[1:]), n]))
+    for p in sorted_[1:]:
+        name += s[before : end[before]] != s[p : end[p]]
+        names[place[p]] = name
+        before = p
+    return _induce_names(s, is_s, [lms[i] for i in names_array(names, name + 1)], k)
+
+
 def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of symbols 0 to k - 1, of which the last, 0, occurs once."""
     n = len(s)
@@ -141,9 +154,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     names_at[sorted_] = np.concatenate([[0], np.cumsum(differs)])
     names = names_at[lms]
     count = int(names.max()) + 1
-    if count < len(lms):
-        order = suffix_array(names, count) if count <= SMALL_ALPHABET else _doubled(names)
-        sorted_ = lms[order]
+    sorted_ = lms[names_array(names.tolist(), count)]
     return _induce(s, is_s, sorted_, k)
 
 

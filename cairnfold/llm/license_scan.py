@@ -46,7 +46,27 @@ TEMPLATES: list[tuple[str, str]] = [
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    (
+        "LGPL-3.0-or-later",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.0-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
@@ -63,7 +83,11 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
@@ -82,6 +106,14 @@ SLACK = 10
 #: Templates of fewer words must be there word for word; a notice may hold as many other words between its own as it has words, or this many.
 SHORT = 12
 
+#: Words, or parts of hyphened ones, that tell one licence from another: none may be missing from a notice, and none may come in. So may no number but a year.
+TELLING = frozenset("mit apache bsd isc mozilla mpl gpl lgpl agpl lesser affero cc cc0 nc sa nd attribution noncommercial sharealike noderivatives noderivs clause only exception".split())
+#: Notices of these names have a second one if these words follow.
+LATER = {"GPL-2.0": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-or-later", "LGPL-3.0": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-or-later"}
+
+_number = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
+_year = re.compile(r"(?:19|20)[0-9]{2}")
+_later = re.compile(r"(?i)[\s,#*/;(]*or[\s#*/;(]+(?:at\s+your\s+option[\s)]+)?(?:any\s+)?(?:later|newer|above)\b")
 _clue = re.compile(CLUES)
 #: A word may be broken behind a hyphen at the end of a line.
 _broken = r"-[ \t\r]*\n[ \t#*/;%>|!]*"
@@ -94,6 +126,11 @@ def words(text: str) -> list[str]:
     return [_mend.sub("-", w).lower() for w in _word.findall(text)]
 
 
+def telling(word: str) -> bool:
+    """Whether a word says which licence, or which version of it, is meant."""
+    return any(x in TELLING or (_number.fullmatch(x) and not _year.fullmatch(x)) for x in word.split("-"))
+
+
 def blocks(text: str) -> list[tuple[int, int]]:
     """Candidate blocks: runs of lines with clues (one line without may lie between), or surroundings of clues in long lines."""
     out: list[list[int]] = []
@@ -214,6 +251,10 @@ class Scanner:
             for extra, missing, a, b in sorted((x for x in runs if x[0] <= max(size, SHORT)), key=lambda x: (x[0] + x[1], *x[1:])):
                 if all(b < c or d < a for c, d in taken):
                     taken.append((a, b))
+                    if extra or missing:
+                        at_t, at_o = (set(x) for x in aligned(template, own[a : b + 1]))
+                        if any(telling(w) for i, w in enumerate(template) if i not in at_t) or any(telling(w) for i, w in enumerate(own[a : b + 1]) if i not in at_o):
+                            continue  # the wording of another licence
                     hits.append((frozenset(a + x for x in aligned(template, own[a : b + 1])[1]), missing, extra, t, a, b))
         hits.sort(key=lambda x: (-len(x[0]), *x[1:]))
         kept: list[tuple] = []
@@ -229,8 +270,11 @@ class Scanner:
             at_t, at_o = (set(x) for x in aligned(self.words[t], own[a : b + 1]))
             missing = [w for i, w in enumerate(self.words[t]) if i not in at_t]
             extra = [w for i, w in enumerate(own[a : b + 1]) if i not in at_o]
+            name = self.templates[t][0]
+            if name in LATER and (m := _later.match(text, spans[b][1], hi)):
+                name, end = LATER[name], m.end()
             notice = text[start:end].encode("utf-8", "surrogatepass")
-            out.append(Verdict(self.templates[t][0], t, len(self.plain.compress(notice)), len(self.given[t].compress(notice)), len(missing), len(extra), [*(f"-{w}" for w in missing), *(f"+{w}" for w in extra)], start, end))
+            out.append(Verdict(name, t, len(self.plain.compress(notice)), len(self.given[t].compress(notice)), len(missing), len(extra), [*(f"-{w}" for w in missing), *(f"+{w}" for w in extra)], start, end))
         return out
 
     def judge(self, block: str) -> Verdict:
@@ -334,11 +378,14 @@ def scan(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per notice found and per candidate block without one: (id, block, start, length, license, confirmed, plain_bytes, given_bytes, reduction, missing, extra, wording, notice).
 
     A notice is a template's words in order, at most a tenth of them missing (none of short ones), with as many other words
-    among them at most. Every template is sought in each block and its surroundings; block is the first block that the
-    notice meets. start, length and notice are in characters of the whole text: the notice's own, or, where license is
-    null, those of the block in which no wording is confirmed; the sizes and word differences are then those of the
-    template that came closest. Documents without a clue, null and
-    empty texts give no row. Null ids and repeated rows are scanned like others. One pass, no shuffle.
+    among them at most; words that name a licence, its family or version may neither be missing nor come in, so a
+    relative's notice is no notice. Every template is sought in each block and its surroundings; block is the first block
+    that the notice meets. start, length and notice are in characters of the whole text: the notice's own, or, where
+    license is null, those of the block in which no wording is confirmed; the sizes and word differences are then those
+    of the template that came closest (ties: fewest bytes, then the longer, then the earlier template). Documents without
+    a clue, null and empty texts give no row; an empty table gives none. Texts of any length are read whole, long lines
+    around each clue, as far as the longest template can reach. Null ids and repeated rows are scanned like others. One
+    pass, no shuffle.
     """
     rows = docs.where(F.col(text).rlike(CLUES)).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     return rows.mapInArrow(_scanned, _FOUND).withColumnRenamed("id", id)

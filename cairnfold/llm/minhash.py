@@ -16,16 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, components, drop, mix, save, shingle_hashes, slices, to_long, trim, word_hashes, words_of
+from .common import bitmap, byte_view, components, drop, hashed_words, likely, mix, save, shingle_hashes, slices, to_long, trim
 
 _EMPTY = np.uint64(2**64 - 1)
 _LOW = np.uint64(2**32 - 1)
 _32 = np.uint64(32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes of one set that a step of array operations works on.
+_PART = 1 << 16
 #: Members of a block in the exact comparison of a bucket that the leaders' links have not joined.
 BLOCK = 512
-#: Bits of the map that saves computing (not moving) sets that no bucket shares; the map has 8 MB, whatever the corpus.
-HINT_BITS = 1 << 26
 
 
 def bands_for(similarity: float, rows: int, miss: float = 1e-6) -> int:
@@ -44,10 +44,11 @@ def sketch(x: np.ndarray, t: int, seeds: np.ndarray) -> np.ndarray:
     rounds = max(1, math.ceil(1.15 * t * (math.log(t) + 1) / n))
     while i < t:
         r = min(rounds, t - i)
-        h = mix(x[None, :] ^ seeds[i : i + r, None])
-        place = ((h >> _32) * np.uint64(t)) >> _32
-        value = (h & _LOW) | (np.arange(i, i + r, dtype=np.uint64)[:, None] << _32)
-        np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())
+        for lo in range(0, n, _PART):  # a long text's set, some of it at a time
+            h = mix(x[None, lo : lo + _PART] ^ seeds[i : i + r, None])
+            place = ((h >> _32) * np.uint64(t)) >> _32
+            value = (h & _LOW) | (np.arange(i, i + r, dtype=np.uint64)[:, None] << _32)
+            np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())
         i += r
         if out.max() != _EMPTY:
             return out
@@ -62,8 +63,7 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     buf, offsets = byte_view(column)
     for lo, hi in slices(offsets):
         part, offs = buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-        starts, ends, rows = words_of(part, offs)
-        h, r = shingle_hashes(word_hashes(part, starts, ends, lower=True), rows, hi - lo, k)
+        h, r = shingle_hashes(*hashed_words(part, offs, lower=True), hi - lo, k)
         cut = np.searchsorted(r, np.arange(hi - lo + 1))
         for j in range(hi - lo):
             yield np.unique(h[cut[j] : cut[j + 1]])
@@ -78,9 +78,9 @@ def _sketches(k: int, bands: int, rows: int):
             n, hi, lo, keys = [], [], [], []
             for x in shingle_sets(batch.column(1), k):
                 n.append(len(x))
-                with np.errstate(over="ignore"):
-                    hi.append(mix(x ^ _STEP).sum(dtype=np.uint64))
-                    lo.append(mix(x + np.uint64(n[-1])).sum(dtype=np.uint64))
+                parts = [x[at : at + _PART] for at in range(0, len(x), _PART)]
+                hi.append(np.array([mix(p ^ _STEP).sum(dtype=np.uint64) for p in parts], np.uint64).sum(dtype=np.uint64))
+                lo.append(np.array([mix(p + np.uint64(len(x))).sum(dtype=np.uint64) for p in parts], np.uint64).sum(dtype=np.uint64))
                 if len(x):
                     grid, key = sketch(x, t, seeds).reshape(bands, rows), tag
                     for c in range(rows):
@@ -97,23 +97,9 @@ def _sketches(k: int, bands: int, rows: int):
     return run
 
 
-def hinted(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (HINT_BITS) over hashes of the ids: what isn't in it is not among them."""
-    bit = ids.select((F.pmod(F.xxhash64("id"), F.lit(HINT_BITS)) + 1).alias("h"))
-    parts = bit.groupBy(F.bitmap_bucket_number("h").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    out = np.zeros(HINT_BITS // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        at = (row["part"] - 1) * 4096
-        out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def _sets(k: int, hints):
+def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = hints.value
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
             sets = [to_long(x) for x in shingle_sets(batch.column(1), k)]
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
@@ -204,9 +190,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     # full sets of the documents that share a bucket with another; texts are not moved, a bitmap says which to look at
     wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
     wanted = save(wanted, "wanted")
-    hints = docs.sparkSession.sparkContext.broadcast(hinted(wanted))
-    likely = own.where("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(HINT_BITS)).alias("h"))
-    full = save(likely.mapInArrow(_sets(words, hints), "id long, words array<long>").join(wanted, "id", "left_semi"), "full")
+    bits = bitmap(wanted.select(F.xxhash64("id")))
+    some = likely(own.where("id is not null"), F.xxhash64("id"), bits)
+    full = save(some.mapInArrow(_sets(words), "id long, words array<long>").join(wanted, "id", "left_semi"), "full")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(full.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b").join(full.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
@@ -247,7 +233,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     labels = merged(labels, blocks)
     named = sets.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").where("members > 1 or component is not null")
     named = save(named.select("hi", "lo", F.coalesce("component", "rep").alias("component")), "named")
-    drop(leaders, members, stars, full, wanted)
+    drop(leaders, members, stars, full, wanted, bits)
     component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
     return (
         sketched.select("id", "n", "hi", "lo")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, mix, slices, word_hashes, words_of
+from .common import bitmap, byte_view, drop, is_long, likely, mix, save, slices, text_parts, word_hashes, words_of
 
 #: Hashed n-gram indicators.
 DIMENSIONS = 1 << 18
@@ -29,7 +29,25 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
     A word's shape is the kind of its first and last byte, its length up to 15, and whether it repeats the word before.
     """
-    starts, ends, rows = words_of(buf, offsets)
+    if is_long(buf, offsets):
+        held, tail = np.zeros(DIMENSIONS, bool), 0
+        for _, hi in text_parts(buf):  # each part begins with the last three words before it, the first of which is only looked back at
+            starts, ends, _ = words_of(buf[tail:hi], np.array([0, hi - tail]))
+            held[_indicators(buf[tail:hi], starts, ends, np.zeros(len(starts), np.int32), int(tail > 0))[1]] = True
+            tail += int(starts[-3]) if len(starts) >= 3 else 0
+        f = np.flatnonzero(held)
+        return np.zeros(len(f), np.int64), f
+    rows, feats = _indicators(buf, *words_of(buf, offsets))
+    if not len(rows):
+        return rows, feats
+    key = rows * DIMENSIONS + feats
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key // DIMENSIONS, key % DIMENSIONS
+
+
+def _indicators(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of every n-gram; of the first `skip` words only what comes behind them counts."""
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z
@@ -39,19 +57,15 @@ def indicators(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     shape = (_CLASS[buf[starts]] << np.uint64(8)) | (_CLASS[buf[ends - 1]] << np.uint64(6)) | (np.minimum(ends - starts, 15).astype(np.uint64) << np.uint64(1)) | again.astype(np.uint64)
     shape = mix(shape + _SALT[0])
     tail = np.maximum(starts, ends - 3)
-    feats = [words, mix(word_hashes(buf, tail, ends) + _SALT[1]), shape]
-    where = [rows, rows, rows]
+    feats = [words[skip:], mix(word_hashes(buf, tail, ends) + _SALT[1])[skip:], shape[skip:]]
+    where = [rows[skip:], rows[skip:], rows[skip:]]
     feats.append(mix(words[:-1] * _SALT[2] + words[1:])[same_row])
     where.append(rows[1:][same_row])
     if len(rows) > 2:
         three = rows[2:] == rows[:-2]
-        feats.append(mix(mix(shape[:-2] * _SALT[3] + shape[1:-1]) * _SALT[4] + shape[2:])[three])
-        where.append(rows[2:][three])
-    f = (np.concatenate(feats) >> np.uint64(46)).astype(np.int64)
-    key = np.concatenate(where) * DIMENSIONS + f
-    key.sort()
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-    return key // DIMENSIONS, key % DIMENSIONS
+        feats.append(mix(mix(shape[:-2] * _SALT[3] + shape[1:-1]) * _SALT[4] + shape[2:])[three][skip:])
+        where.append(rows[2:][three][skip:])
+    return np.concatenate(where).astype(np.int64), (np.concatenate(feats) >> np.uint64(46)).astype(np.int64)
 
 
 def log_count_ratios(good: np.ndarray, bad: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -147,8 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     """Counts over all labelled rows (1 good, 0 bad); the linear model on at most `sample`, a fifth of it first kept for calibration."""
     rated = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).cast("long").alias("id")).agg(F.min(label).cast("int").alias("label"))
     own = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    # labels grow with the corpus, so both sides are dealt by id at every size
-    counts = own.join(rated.hint("merge"), "id").select("label", "text").mapInArrow(_counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
+    # labels grow with the corpus, so both sides are dealt by id at every size; a bitmap keeps most texts without a label back
+    rated = save(rated, "rated")
+    bits = bitmap(rated.select(F.xxhash64("id")))
+    counts = likely(own, F.xxhash64("id"), bits).join(rated.hint("merge"), "id").select("label", "text").mapInArrow(_counts, "feature long, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     good, bad = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     if len(counts):
         at = counts["feature"].to_numpy()
@@ -156,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc
     values = log_count_ratios(good, bad)
     some = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
     table = own.join(F.broadcast(some), "id").select("id", "label", "text").mapInArrow(_rows, "id long, label int, feats array<int>").toArrow().sort_by("id")
+    drop(rated, bits)
     y = np.where(table["label"].to_numpy() > 0, 1.0, -1.0) if len(table) else np.zeros(0)
     lists = table["feats"].combine_chunks()
     rows = [np.asarray(x.values) for x in lists]

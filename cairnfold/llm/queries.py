@@ -58,8 +58,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False, with_text=False)
-    return out.select("doc_id", "n_ids", "ids_crc32", "round_trip", "parity")
+    return sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

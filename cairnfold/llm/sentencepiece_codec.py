@@ -21,6 +21,10 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a worker remembers; beyond it, it starts anew.
 MEMORY = 600_000
+#: Characters of a text that the sentencepiece library gets at once, about.
+LONG = 1 << 18
+#: A blank between two words.
+_BLANK = re.compile(r"(?<=[^ ▁]) (?=[^ ▁])")
 
 
 # ---------------------------------------------------------------- the model file
@@ -119,6 +123,37 @@ def _merges(model: Model) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(out)]
 
 
+def _lattice(model: Model) -> list[tuple[str, float]]:
+    """Strings and scores of a unigram model by id. Only ordinary and user-defined pieces may match text; the others get strings that no text has.
+
+    User-defined pieces have the score that the sentencepiece library gives them. Bytes of unknown characters are put in behind.
+    """
+    scores = [s for _, s, kind in model.pieces if kind == NORMAL] or [0.0]
+    never = " " if model.escape_whitespaces else "\U0010ffff"
+    out = []
+    for i, (piece, score, kind) in enumerate(model.pieces):
+        if kind == USER_DEFINED:
+            out.append((piece, len(piece.encode()) * max(scores) - 0.1))
+        else:
+            out.append((piece, score) if kind == NORMAL else (f"{never}{i}", max(scores)))
+    return out
+
+
+def _unused(model: Model) -> dict[int, list[int]]:
+    """For each unused piece of a BPE model the ids of what it is joined from; no text gets an unused piece."""
+    ids = {p: i for i, (p, *_) in enumerate(model.pieces)}
+    parts: dict[str, tuple[str, str]] = {}
+    for a, b in _merges(model):
+        parts.setdefault(a + b, (a, b))
+
+    def resolved(piece: str) -> list[int]:
+        if model.pieces[ids[piece]][2] != UNUSED or piece not in parts:
+            return [ids[piece]]
+        return [i for p in parts[piece] for i in resolved(p)]
+
+    return {i: resolved(p) for i, (p, _, kind) in enumerate(model.pieces) if kind == UNUSED}
+
+
 def build(model: Model):
     """The normaliser, the model without one, and the decoder, as tokenizers objects."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
@@ -133,10 +168,10 @@ def build(model: Model):
     if model.escape_whitespaces:
         steps.append(normalizers.Replace(" ", MARK))
     unk = model.pieces[model.unk_id][0]
-    if model.algorithm == BPE:
+    if model.algorithm == BPE:  # merges lead to ordinary pieces only, so the strings of others never come out
         core = models.BPE(vocab={p: i for i, (p, *_) in enumerate(model.pieces)}, merges=_merges(model), unk_token=unk, fuse_unk=True, byte_fallback=model.byte_fallback)
     else:
-        core = models.Unigram([(p, s) for p, s, _ in model.pieces], unk_id=model.unk_id, byte_fallback=model.byte_fallback)
+        core = models.Unigram(_lattice(model), unk_id=model.unk_id, byte_fallback=False)
     tokenizer = Tokenizer(core)
     tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.add_dummy_prefix else [])])
     return normalizers.Sequence(steps), tokenizer
@@ -154,24 +189,29 @@ class Codec:
 
     No piece goes on behind a white-space marker, so text is encoded word by word (markers and what follows them); the
     words of a batch that are new go to the tokenizers library in one multithreaded call, the others are remembered.
-    A model that has pieces across words is given whole texts instead.
+    A model that has pieces across words is given whole texts instead. User-defined pieces of a BPE model are cut out
+    of the text first, the longest at each place.
     """
 
-    def __init__(self, path: str, threads: int = 2, verify: bool = False):
+    def __init__(self, path: str, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         with open(path, "rb") as f:
-            self.model = parse(f.read())
-        self.normaliser, self.tokenizer = build(self.model)
-        self.plain = self.model.escape_whitespaces and not self.model.charsmap and not self.model.remove_extra_whitespaces
-        across = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED))
+            self.model = model = parse(f.read())
+        self.path = path
+        self.normaliser, self.tokenizer = build(model)
+        self.plain = model.escape_whitespaces and not model.charsmap and not model.remove_extra_whitespaces
+        across = any(re.search(f"[^{MARK}]{MARK}", p) for p, _, kind in model.pieces if kind in (NORMAL, USER_DEFINED))
         self.words = re.compile("(?s).+" if across else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.across = across
+        own = sorted((p for p, _, kind in model.pieces if kind == USER_DEFINED and model.algorithm == BPE), key=len, reverse=True)
+        self.fixed = {p: struct.pack("<I", i) for i, (p, _, kind) in enumerate(model.pieces) if p in own}
+        self.cut = re.compile("(" + "|".join(map(re.escape, own)) + ")") if own else None
+        self.bytes_at = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        self.unused = _unused(model) if model.algorithm == BPE else {}
+        #: whether a long text may be given to the sentencepiece library in parts that begin at a blank
+        self.parts = self.plain and model.add_dummy_prefix and not across
         self.memory: dict[str, bytes] = {}
-        #: words (texts, for a model with pieces across words) that the sentencepiece library encodes differently
-        self.odd: set[str] = set()
-        self.library = _library(path) if verify else None
-        self.table = [self._bytes(p, kind) for p, _, kind in self.model.pieces]
+        self.table = [self._bytes(p, kind) for p, _, kind in model.pieces]
 
     @staticmethod
     def _bytes(piece: str, kind: int) -> bytes:
@@ -188,26 +228,47 @@ class Codec:
 
     def split(self, texts: Iterable[str]) -> list[list[str]]:
         """The texts' words; after this, memory holds the ids of all of them."""
-        split = [self.words.findall(self.normalised(t)) for t in texts]
+        normal = [self.normalised(t) for t in texts]
+        if self.cut is None:
+            split = [self.words.findall(t) for t in normal]
+        else:
+            split = [[w for n, x in enumerate(self.cut.split(t)) for w in ([x] if n % 2 else self.words.findall(x))] for t in normal]
         if len(self.memory) > MEMORY:
             self.memory.clear()
+        self.memory.update(self.fixed)
         new = list(set().union(*split).difference(self.memory))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, ids))
-            if self.library and not self.across:
-                theirs = self._asked(part)
-                self.odd.update(w for w, x, y in zip(part, ids, theirs) if x != y)
+            self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, self._ids(part)))
         return split
 
-    def _asked(self, words: list[str]) -> list[list[int]]:
-        """The sentencepiece library's ids of words: it puts a first marker back; markers alone are asked behind a letter."""
-        lead = 1 if self.model.add_dummy_prefix else 0
-        first = len(self.library.encode("x"))
-        bare = [not w.strip(MARK) for w in words]
-        ids = self.library.encode(["x" + w if b else w[lead:] if w[:1] == MARK else w for w, b in zip(words, bare)], num_threads=1)
-        return [x[first:] if b else x for x, b in zip(ids, bare)]
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        if self.model.algorithm == UNIGRAM and self.model.byte_fallback:
+            unk = self.model.unk_id
+            out = []
+            for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+                out.append([x for i, (a, b) in zip(e.ids, e.offsets) for x in ([self.bytes_at[c] for c in w[a:b].encode()] if i == unk else [i])])
+            return out
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if self.unused:
+            ids = [[y for x in own for y in self.unused.get(x, (x,))] for own in ids]
+        return ids
+
+    def library_ids(self, texts: list[str]) -> list[list[int]]:
+        """What the sentencepiece library makes of whole texts; very long ones go to it in parts that begin at a blank, if that changes nothing."""
+        library = _library(self.path)
+        if not self.parts or max(map(len, texts), default=0) <= LONG:
+            return library.encode(texts, num_threads=1)
+        out = []
+        for t in texts:
+            ids, at = [], 0
+            while at < len(t) or not at:
+                m = _BLANK.search(t, at + LONG) if len(t) - at > LONG else None
+                end = m.start() if m else len(t)
+                ids += library.encode(t[at:end])  # the blank before a part comes back as the prefix
+                at = end + 1
+            out.append(ids)
+        return out
 
     def joined(self, words: list[str]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.memory.__getitem__, words)), np.uint32)
@@ -228,55 +289,49 @@ class Codec:
 
 def mismatches(path: str, texts: list[str]) -> list[int]:
     """Which texts the sentencepiece library encodes or decodes differently."""
-    import sentencepiece
-
-    codec, own = Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    codec, own = Codec(path), _library(path)
     ids = codec.encode(texts)
     return [i for i, (a, b) in enumerate(zip(ids, own.encode(texts, num_threads=1))) if a.tolist() != b or codec.decode(a) != own.decode(b)]
 
 
 @lru_cache(2)
-def _codec(path: str, threads: int, verify: bool = False) -> Codec:
-    return Codec(path, threads, verify)
+def _codec(path: str, threads: int) -> Codec:
+    return Codec(path, threads)
 
 
-def _encoded(path: str, threads: int, verify: bool, with_ids: bool, with_text: bool):
+def _encoded(path: str, threads: int, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, threads, verify)
+        codec = _codec(path, threads)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
-                words = codec.split(texts)
-                ids = [codec.joined(w) for w in words]
-                same = [None] * len(ids)
-                if verify and codec.across:
-                    same = [a.tolist() == b for a, b in zip(ids, codec.library.encode(texts, num_threads=1))]
-                elif verify:
-                    same = [not codec.odd or codec.odd.isdisjoint(w) for w in words]
+                ids = codec.encode(texts)
+                same = [a.tolist() == b for a, b in zip(ids, codec.library_ids(texts))] if verify else [None] * len(ids)
                 back = [codec.raw(a) for a in ids]
                 lead = 1 if codec.model.add_dummy_prefix else 0
                 plain = texts if codec.plain else [codec.normalised(t)[lead:] for t in texts]
                 trips = [b == p.replace(MARK, " ").encode() for b, p in zip(back, plain)]
-                crcs = [zlib.crc32(a) for a in ids]
-                lists = pa.array([a.astype(np.int32) if with_ids else None for a in ids], pa.list_(pa.int32()))
-                shown = pa.array([b.decode("utf-8", "replace") if with_text else None for b in back], pa.string())
+                at = np.concatenate([[0], np.cumsum([len(a) for a in ids])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)))
+                shown = pa.array([b.decode("utf-8", "replace") for b in back], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 256), pa.array([len(a) for a in ids], pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), shown, lists],
+                    [batch.column(0).slice(lo, 256), pa.array(np.diff(at)), pa.array([zlib.crc32(a) for a in ids], pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), shown, lists],
                     ["id", "n_ids", "ids_crc32", "round_trip", "parity", "decoded", "ids"],
                 )
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True, with_ids: bool = True, with_text: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True) -> DataFrame:
     """One row per row of docs: (id, n_ids, ids_crc32, round_trip, parity, decoded, ids).
 
     round_trip: decoding gives the normalised text again; parity (null unless verify): the sentencepiece library gives
-    the same ids. It is asked about each new word, and as no piece of the vocabulary crosses words, texts agree where
-    their words do; for a model with pieces across words it is asked about whole texts. Null and empty texts have no ids. Null ids and repeated rows are encoded like others; whole texts,
-    one pass, no shuffle; a worker holds a few hundred texts and a bounded memory of words.
+    the same ids for the whole text (texts over LONG characters go to it in parts that begin at a blank, where no piece
+    of the model crosses words). Null and empty texts have no ids; their round trip is true. Null ids and repeated rows
+    are encoded like others; an empty table gives an empty table; other columns are not looked at. Whole texts, one
+    pass, no shuffle; a worker holds a few hundred texts and a bounded memory of words.
     """
-    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify, with_ids, with_text), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
+    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
     return out.withColumnRenamed("id", id)
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, drop, mix, save, slices, word_hashes, words_of
+from .common import byte_view, drop, is_long, mix, save, slices, text_parts, word_hashes, words_of
 
 #: Bits of a feature's hash; a word counts as itself and by its first bytes.
 BITS = 40
@@ -44,6 +44,35 @@ def counted(rows: np.ndarray, feats: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key >> BITS, key & ((1 << BITS) - 1), count
 
 
+def tallied(buf: np.ndarray, offsets: np.ndarray, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, feature) with their counts (of features that may be among ids, if given), and the number of words of each row.
+
+    A long text is looked at part by part, and only its distinct features are kept.
+    """
+    every = [(0, len(buf))] if not is_long(buf, offsets) else list(text_parts(buf, _NO_LETTER))
+    rows, feats, counts, n, waiting = [], [], [], np.zeros(len(offsets) - 1, np.int64), 0
+    for lo, hi in every:
+        r, f, words = features(buf[lo:hi], offsets if len(every) == 1 else np.array([0, hi - lo]))
+        n += words
+        if ids is not None:
+            hint = _hinted(ids, f)
+            r, f = r[hint], f[hint]
+        r, f, c = counted(r, f)
+        rows, feats, counts, waiting = [*rows, r], [*feats, f], [*counts, c], waiting + len(f)
+        if waiting > 1 << 20:
+            r, f, c = _summed(rows, feats, counts)
+            rows, feats, counts, waiting = [r], [f], [c], 0
+    if not rows:
+        z = np.zeros(0, np.int64)
+        return z, z, z, n
+    return (*(_summed(rows, feats, counts) if len(rows) > 1 else (rows[0], feats[0], counts[0])), n)
+
+
+def _summed(rows: list[np.ndarray], feats: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at = np.unique((np.concatenate(rows) << BITS) | np.concatenate(feats), return_inverse=True)
+    return key >> BITS, key & ((1 << BITS) - 1), np.bincount(at, weights=np.concatenate(counts), minlength=len(key)).astype(np.int64)
+
+
 def places(ids: np.ndarray, feats: np.ndarray) -> np.ndarray:
     """Where each feature stands in the rising ids, or -1."""
     if not len(ids):
@@ -79,11 +108,11 @@ class OrdinalModel:
     thresholds: np.ndarray
     cut: float = 0.5
 
-    def linear(self, rows: np.ndarray, feats: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        known = _hinted(self.ids, feats)
-        r, f, c = counted(rows[known], feats[known])
-        at = places(self.ids, f)
-        return np.bincount(r[at >= 0], weights=self.weights[at[at >= 0]] * np.log1p(c[at >= 0]), minlength=len(n_words))
+    def linear(self, rows: np.ndarray, feats: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+        """w.x of n rows from distinct (row, feature) with counts."""
+        at = places(self.ids, feats)
+        known = at >= 0
+        return np.bincount(rows[known], weights=self.weights[at[known]] * np.log1p(counts[known]), minlength=n)
 
     def above(self, linear: np.ndarray) -> np.ndarray:
         """Of each row the chances that its grade exceeds 0, 1, ..."""
@@ -176,8 +205,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column(1).to_numpy()
         buf, offsets = byte_view(batch.column(2))
         for lo, hi in slices(offsets):
-            r, f, _ = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            r, f, _ = counted(r, f)
+            r, f, *_ = tallied(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             ids, at = np.unique(f, return_inverse=True)
             bad = np.bincount(at, weights=toxic[lo + r], minlength=len(ids)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bad), pa.array(np.bincount(at, minlength=len(ids)) - bad)], ["feature", "toxic", "clean"])
@@ -190,9 +218,7 @@ def _known(ids: np.ndarray):
         for batch in batches:
             buf, offsets = byte_view(batch.column(2))
             for lo, hi in slices(offsets):
-                r, f, _ = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                hint = _hinted(ids, f)
-                r, f, c = counted(r[hint], f[hint])
+                r, f, c, _ = tallied(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], ids)
                 at = places(ids, f)
                 r, at, c = r[at >= 0], at[at >= 0], c[at >= 0]
                 cut = np.searchsorted(r, np.arange(hi - lo + 1)).astype(np.int32)
@@ -244,8 +270,8 @@ def _scored(model: OrdinalModel):
         for batch in batches:
             buf, offsets = byte_view(batch.column(1))
             for lo, hi in slices(offsets):
-                r, f, n = features(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                eta = model.linear(r, f, n)
+                r, f, c, n = tallied(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], model.ids)
+                eta = model.linear(r, f, c, len(n))
                 above = model.above(eta)
                 severity = above.sum(1)
                 chances = np.concatenate([np.ones((len(eta), 1)), above, np.zeros((len(eta), 1))], axis=1)

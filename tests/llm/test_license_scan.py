@@ -64,3 +64,53 @@ def test_short_notices_in_long_lines():
         w = [rng.choice(vocab) for _ in range(1200)]
         texts.append(" ".join(w[:600] + ["All rights reserved."] + w[600:]))
     assert all("proprietary" in x for x in found(texts))
+
+
+GNU = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {}General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n"
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        (GNU.format("", "3"), {"GPL-3.0-or-later"}),
+        (GNU.format("Lesser ", "3"), {"LGPL-3.0-or-later"}),
+        (GNU.format("Lesser ", "3").replace("program", "library"), {"LGPL-3.0-or-later"}),
+        (GNU.format("Affero ", "3"), {"AGPL-3.0-or-later"}),
+        (GNU.format("Lesser ", "2.1").replace("program", "library"), {"LGPL-2.1-or-later"}),
+        (GNU.format("Library ", "2").replace("program", "library"), {"LGPL-2.0-or-later"}),
+        (GNU.format("", "3").replace("program", "library"), {"GPL-3.0-or-later"}),
+        (GNU.format("", "2").replace("software:", "software;"), {"GPL-2.0-or-later"}),
+        (GNU.format("", "4"), {None}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("This work is licensed under the GNU General Public License, version 3, or any later version.", {"GPL-3.0-or-later"}),
+        ("This work is licensed under the GNU General Public License, version 3 or (at your option) any later version.", {"GPL-3.0-or-later"}),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"CC-BY-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", {"CC-BY-NC-SA-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", {"CC-BY-NC-ND-4.0"}),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 International License.", {None}),
+        ("Licensed under CC BY 3.0.", {None}),
+        ("Released under the BSD 4-Clause License.", {None}),
+        ("Released under the MIT-0 License.", {None}),
+        ("Licensed under the Apache License, Version 1.1.", {None}),
+        ("Licensed under the MIT license\nand under the Apache License, Version 2.0", {"MIT", None}),
+        ("Licensed under the MIT license.\nLicensed under the Apache License, Version 2.0.", {"MIT", "Apache-2.0"}),
+        ("SPDX-License-Identifier: GPL-2.0-only", {None}),
+    ],
+)
+def test_look_alikes(text, names):
+    got = found([text])[0]
+    assert got == names or got == names - {None}, got
+
+
+def test_copyright_years_between_the_words_do_no_harm():
+    assert found([MIT.replace("subject to the following conditions:\n\nThe", "subject to the following conditions:\n\nCopyright 2021 Someone Else\n\nThe")])[0] >= {"MIT"}
+
+
+def test_ties_long_blocks_and_repeats():
+    longest = "All rights reserved. " * 2000
+    assert found([longest, longest])[0] == {"proprietary"}
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1], pa.int64()), pa.array([longest] * 2)], ["id", "text"])
+    rows = [r for b in license_scan._scanned(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) == 4000 and len({(r["start"], r["length"]) for r in rows}) == 2000
+    across = "x " * 2900 + MIT.replace("\n", " ") + " y" * 4000 + " " + MIT.replace("\n", " ")
+    assert found([across])[0] >= {"MIT"}

@@ -130,7 +130,12 @@ def test_components(spark):
 
 def removed(rows, length):
     """Byte by byte, for distinct (id, text); null ids last, then by text hash."""
-    key = lambda r: (2**63 - 1 if r[0] is None else r[0], int(hashlib.md5(r[1]).hexdigest()[:8], 16))
+
+    def key(r):
+        d = hashlib.sha256(r[1]).digest()
+        a, b = (int.from_bytes(d[x : x + 8], "big", signed=True) for x in (0, 8))
+        return (1, a, b) if r[0] is None else (0, r[0], a)
+
     seen, out = set(), {}
     for r in sorted({(i, (t or "").encode()) for i, t in rows}, key=key):
         b, gone = r[1], bytearray(len(r[1]))
@@ -159,6 +164,48 @@ def test_suffix_dedup(docs, empty, monkeypatch, shard):
     assert suffix_dedup.cut_repeats(empty).count() == 0
 
 
+def test_anchors_grow_until_windows_are_whole():
+    """Regions around one common string: at every round equal windows have equal anchors, and no window is lost."""
+    rng, length = random.Random(2), 100
+    text = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    middle = bytes(rng.choice(b"xyz") for _ in range(32))
+    lefts, rights = [text(68) for _ in range(6)], [text(68) for _ in range(6)]
+    buf = b"".join(x + middle + y for x in lefts for y in rights)
+    h = suffix_dedup.regions(np.frombuffer(buf, np.uint8), np.array([0, len(buf)]), length)
+    pieces = [(int(to) , buf[a : a + n + length - 1], -1) for to, a, n in zip(common.to_long(np.ascontiguousarray(h["hash"])), h["start"].tolist(), h["count"].tolist())]
+    windows = Counter(buf[i : i + length] for i in range(len(buf) - length + 1))
+    k = 32
+    while k < length:
+        after, anchors = [], defaultdict(set)
+        for hash_, body, at in pieces:
+            for first, count, key, place in suffix_dedup.halved(body, hash_, at, length, k):
+                part = body[first : first + count + length - 1]
+                half = -(-(length - k) // 2)
+                assert part[place : place + k + half] == key and len(key) == k + half
+                after.append((key, part, place))
+                for i in range(count):
+                    anchors[part[i : i + length]].add(key)
+        assert all(len(x) == 1 for x in anchors.values())
+        assert Counter(p[i : i + length] for _, p, _ in after for i in range(len(p) - length + 1)) == windows
+        pieces, k = after, k + half
+    assert all(key == part for key, part, _ in pieces)
+
+
+def test_names_are_sorted_recursively(monkeypatch):
+    """A text of half a megabyte of ordinary words goes through several levels of induced sorting."""
+    rng = random.Random(1)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    text = " ".join(rng.choice(vocab) for _ in range(90_000)).encode()[: 1 << 19]
+    depth, inner = [], induced_sort.names_array
+    monkeypatch.setattr(induced_sort, "names_array", lambda s, k: depth.append((len(s), k)) or inner(s, k))
+    s = np.append(np.frombuffer(text, np.uint8).astype(np.int16) + 2, 0).astype(np.int16)
+    order = induced_sort.suffix_array(s, 258)
+    assert len(depth) >= 3 and depth[0][0] > 100_000 and depth[0][1] > 1024 and depth[-1][0] == depth[-1][1]
+    assert sorted(order.tolist()) == list(range(len(s)))
+    some = rng.sample(range(len(order) - 1), 20_000)
+    assert all(text[order[i] :] < text[order[i + 1] :] for i in some if i)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for n in range(150):
@@ -229,6 +276,17 @@ def test_encoder_special_tokens_and_long_texts(monkeypatch):
     assert [x.tolist() for x in encode(texts)] == want
 
 
+def test_every_character_is_cut_as_the_library_cuts_it():
+    """One text for each code point, between letters, numbers and marks."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    slow, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    points = [chr(c) for c in [*range(0x3100), *range(0xA000, 0xA100), *range(0xFE00, 0x10000), *range(0x1F000, 0x1F100), *range(0x10D30, 0x10D90), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b 1{c}2 !{c}?  {c}{c} {c}a\n{c} 's{c}" for c in points]
+    assert [x.tolist() for x in encode(texts)] == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_ids_of_a_whole_table():
     """The ids of every text of the smallest table, pinned."""
     import pyarrow.parquet as pq
@@ -325,15 +383,6 @@ def test_sentencepiece(docs, empty, spark):
     assert sentencepiece_codec.encode_documents(empty, path).count() == 0
 
 
-def test_unigram_models_are_rebuilt():
-    piece = lambda p, s, kind=1: bytes([10, len(x := bytes([10, len(p.encode())]) + p.encode() + b"\x15" + np.float32(s).tobytes() + bytes([24, kind]))]) + x
-    data = piece("<unk>", 0, 2) + piece("▁a", -1) + piece("▁", -2) + piece("a", -2.5) + piece("b", -2) + bytes([18, 2, 24, 1]) + bytes([26, 2, 32, 0])
-    model = sentencepiece_codec.parse(data)
-    assert model.algorithm == sentencepiece_codec.UNIGRAM and [p[0] for p in model.pieces] == ["<unk>", "▁a", "▁", "a", "b"] and not model.remove_extra_whitespaces
-    normaliser, tokenizer = sentencepiece_codec.build(model)
-    assert tokenizer.encode(normaliser.normalize_str("ab a")).ids == [1, 4, 1]
-
-
 @pytest.mark.parametrize("segment", [1 << 18, 700])
 def test_warc(spark, segment):
     html = ["<p>one</p>", "<p>é</p>" * 900, "", None, "a\r\n\r\nWARC/1.1\r\n\r\nb", "z" * 5000]
