@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: five stages, each one operator, each on all that the one before kept."""
+"""A corpus from raw documents to packed sequences: five stages, each one operator, each on all that the one before kept.
+
+Every stage decides about rows, not ids: rows that share an id, and rows without one, are documents of their own. In all
+stages null texts are empty ones, an empty table gives an empty table, columns besides doc_id and text are carried along
+whatever their names are, and texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
@@ -6,42 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnfold.llm import toxicity
-from cairnfold.llm.common import save
-from cairnfold.llm.exact_dedup import exact_dedup
+from cairnfold.llm.common import numbered, save, without
+from cairnfold.llm.exact_dedup import distinct_rows
 from cairnfold.llm.minhash import near_duplicates
 from cairnfold.llm.packing import pack_documents
 from cairnfold.llm.queries import vocabulary
 from cairnfold.llm.suffix_dedup import cut_repeats
 
-
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents whose verdict is to stay. Rows without an id have none against them."""
-    return docs.join(verdicts.where(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: A column that tells rows with one id, or without one, apart.
+TIE = "_tie"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the toxicity model, trained on the labelled ones, does not reject. Empty texts stay, repeated rows share a verdict."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.train(docs, labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, exact_dedup(docs))
+    """One row of each group with equal texts (white space aside): most code points, smallest id (null last), least row; so one of repeated rows, and one empty text."""
+    return distinct_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _kept(docs, near_duplicates(docs, words=5, num=80, den=100))
+    """One row of each group of near duplicates (five words, 0.8): the smallest id, rows without an id of their own last.
+
+    Rows without words are linked with nothing and stay.
+    """
+    rows, top = numbered(docs, name=TIE)
+    own = F.when(F.col(TIE) == 0, F.col("doc_id").cast("long")).otherwise(F.lit(top) + F.col(TIE))
+    verdicts = near_duplicates(rows.select(own.alias("row"), "text"), id="row", words=5, num=80, den=100)
+    return without(rows.withColumn("_row", own), "_row", verdicts.where("not kept").select("row")).select(docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that start earlier; documents stay, if need be with an empty text; n_chars follows."""
+    """Texts without the passages of 100 bytes or more that start earlier (by id, then by row; null ids last); rows stay, if need be with an empty text; n_chars follows."""
+    rows, _ = numbered(docs, name=TIE)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = cut_repeats(docs, length=100, carry=tuple(rest)).select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"carried.{c}").alias(c) for c in rest))
+    cut = cut_repeats(rows, length=100, carry=tuple(rest), tie=TIE).select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"carried.`{c}`").alias(c) for c in rest))
     if "n_chars" in rest:
         cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cut.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A place in a sequence of at most 2048 tokens for every piece of every row; an empty text is its end token."""
     return pack_documents(docs, vocabulary("byte_bpe_50k.json"), capacity=2048, end=0)
 
 
@@ -58,6 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of all pieces of what the stages keep of the table of documents: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
+
+    An empty table gives an empty one; nulls, repeated rows and ids, and very long texts are treated as the stages say.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = save(stage(spark, docs, sf_dir), f"stage-{name}")
