@@ -142,9 +142,18 @@ def _lattice(model: Model) -> list[tuple[str, float]]:
 def _unused(model: Model) -> dict[int, list[int]]:
     """For each unused piece of a BPE model the ids of what it is joined from; no text gets an unused piece."""
     ids = {p: i for i, (p, *_) in enumerate(model.pieces)}
-    parts: dict[str, tuple[str, str]] = {}
-    for a, b in _merges(model):
-        parts.setdefault(a + b, (a, b))
+    score = {p: s for p, s, kind in model.pieces if kind in (NORMAL, USER_DEFINED, UNUSED)}
+    parts: dict[str, list[str]] = {}
+    for piece in (p for p, _, kind in model.pieces if kind == UNUSED):
+        symbols = list(piece)
+        while len(symbols) > 2:  # joined as the model would join it
+            pairs = [(-score[x + y], i) for i, (x, y) in enumerate(zip(symbols, symbols[1:])) if x + y in score]
+            if not pairs:
+                break
+            i = min(pairs)[1]
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        if len(symbols) == 2 and all(x in ids for x in symbols):
+            parts[piece] = symbols
 
     def resolved(piece: str) -> list[int]:
         if model.pieces[ids[piece]][2] != UNUSED or piece not in parts:
