@@ -399,6 +399,13 @@ def test_warc(spark, segment):
         expected.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "revisit" if again else "response", r if again else None, True))
     assert by_key(warc.round_trip(pages, segment=segment).collect()) == by_key(expected)
     assert warc.round_trip(pages.limit(0)).count() == 0
+    path = common.scratch_path(spark, "warc")
+    warc.write_archives(pages, path, segment=segment, archive=9000)
+    chunks = warc.read_chunks(spark, path).persist()
+    assert by_key(warc.read_records(chunks.repartition(3), ordered=False).collect()) == by_key(expected)
+    assert chunks.agg(F.max(F.octet_length("data"))).first()[0] <= segment
+    broken = chunks.withColumn("data", F.when(F.col("page_id") == 5, F.lit(b"other")).otherwise(F.col("data")))
+    assert [r.page_id for r in warc.read_records(broken).where("not intact").collect()] == ([5] if expected[5][3] == "response" else [])
 
 
 def test_license_scan(spark, docs, empty):
