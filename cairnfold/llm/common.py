@@ -103,35 +103,39 @@ def likely(df: DataFrame, hash: Column, bits: DataFrame) -> DataFrame:
     return split(df, hash, bits)[0]
 
 
-def without(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
-    """The rows of df whose key (a long) is not in the one column of gone. Only rows that a bitmap lets through are moved."""
+def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows whose key (a long) is not in the one column of gone. Only rows that a bitmap lets through are moved."""
     gone = save(gone.toDF("_gone").where("_gone is not null").distinct(), "gone")
-    maybe, surely = split(df, F.coalesce(F.xxhash64(key), F.lit(0)), bitmap(gone.select(F.xxhash64("_gone"))))
+    maybe, surely = split(rows, F.coalesce(F.xxhash64(key), F.lit(0)), bitmap(gone.select(F.xxhash64("_gone"))))
     return surely.unionByName(maybe.join(gone, F.col(key) == F.col("_gone"), "left_anti"))
 
 
 # ---------------------------------------------------------------- rows
 
 
-def numbered(docs: DataFrame, id: str = "doc_id", name: str = "_tie") -> tuple[DataFrame, int]:
-    """docs with a column that tells rows apart: 0 where no other row has the id; else, and for null ids, a number > 0 of the row's own. And the largest id.
+def whole(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of theirs can clash with ours."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
 
-    Rows without an id of their own are written, so that their numbers stay; where all have one, nothing is.
+
+def numbered(docs: DataFrame, id: str = "doc_id") -> tuple[DataFrame, int]:
+    """Rows as (doc, id, tie) and the largest id: doc holds all columns; tie tells rows apart that share an id or have none.
+
+    tie is 0 where no other row has the id; else, and for null ids, a number > 0 of the row's own. Rows without an id of
+    their own are written, so that their numbers stay; where all have one, nothing is.
     """
-    own = F.col(id).cast("long")
-    counts = docs.groupBy(own.alias("_id")).agg(F.count("*").alias("n"))
-    shared = save(counts.where("n > 1 or _id is null").select("_id"), "shared")
-    top = docs.agg(F.max(own)).first()[0] or 0
-    plain = docs.withColumn(name, F.lit(0).cast("long"))
+    rows = docs.select(whole(docs).alias("doc"), F.col(id).cast("long").alias("id"))
+    shared = save(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select(F.col("id").alias("_id")), "shared")
+    top = rows.agg(F.max("id")).first()[0] or 0
+    zero = F.lit(0).cast("long").alias("tie")
     if shared.isEmpty():
-        return plain, top
-    bits = bitmap(shared.where("_id is not null").select(F.xxhash64("_id")))
-    maybe, surely = split(docs.where(own.isNotNull()), F.xxhash64(own), bits)
+        return rows.select("doc", "id", zero), top
     ids = shared.where("_id is not null")
-    single = surely.unionByName(maybe.join(ids, own == F.col("_id"), "left_anti"))
-    rest = docs.where(own.isNull()).unionByName(maybe.join(ids, own == F.col("_id"), "left_semi"))
-    rest = save(rest.withColumn(name, F.monotonically_increasing_id() + 1), "numbered")
-    return single.withColumn(name, F.lit(0).cast("long")).unionByName(rest), top
+    maybe, surely = split(rows.where("id is not null"), F.xxhash64("id"), bitmap(ids.select(F.xxhash64("_id"))))
+    single = surely.unionByName(maybe.join(ids, F.col("id") == F.col("_id"), "left_anti"))
+    rest = rows.where("id is null").unionByName(maybe.join(ids, F.col("id") == F.col("_id"), "left_semi"))
+    rest = save(rest.withColumn("tie", F.monotonically_increasing_id() + 1), "numbered")
+    return single.select("doc", "id", zero).unionByName(rest), top
 
 
 # ---------------------------------------------------------------- Arrow text

@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, likely, save, split
+from .common import bitmap, likely, save, split, whole
 
 #: Deleted before texts are compared: space and U+0009 to U+000D.
 IGNORED = r"[\x20\x09-\x0D]+"
@@ -18,9 +18,9 @@ def normalised(text: Column, ignored: str = IGNORED) -> Column:
 
 
 def _rows(docs: DataFrame, text: str, id: str, ignored: str) -> DataFrame:
-    """docs with each row's id, code points, normalised text and its SHA-256."""
-    key = normalised(F.col(text), ignored)
-    own = docs.withColumns({"_id": F.col(id).cast("long"), "_n": F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("decimal(10,0)"), "_key": key})
+    """Each row of docs as one column, with its id, code points, normalised text and its SHA-256."""
+    size = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("decimal(10,0)")
+    own = docs.select(whole(docs).alias("doc"), F.col(id).cast("long").alias("_id"), size.alias("_n"), normalised(F.col(text), ignored).alias("_key"))
     return own.withColumn("_sha", F.unhex(F.sha2("_key", 256)))
 
 
@@ -78,8 +78,6 @@ def distinct_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", ignor
     """
     _, groups, bits = _groups(docs, text, id, ignored)
     maybe, surely = split(_rows(docs, text, id, ignored), F.xxhash64(F.substring("_sha", 1, 16)), bits)
-    met = maybe.drop("_key").join(groups, "_sha", "left")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    alone = met.where("group_size is null").select(own)
-    best = met.where("group_size is not null and _id <=> keep_id and _n = most").select("_sha", F.struct(*own).alias("row"))
-    return surely.select(own).unionByName(alone).unionByName(best.groupBy("_sha").agg(F.min("row").alias("row")).select("row.*"))
+    met = maybe.select("doc", "_id", "_n", "_sha").join(groups, "_sha", "left")
+    best = met.where("group_size is not null and _id <=> keep_id and _n = most").groupBy("_sha").agg(F.min("doc").alias("doc"))
+    return surely.select("doc").unionByName(met.where("group_size is null").select("doc")).unionByName(best.select("doc")).select("doc.*")

@@ -395,7 +395,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id", length:
     digest, given = F.sha2(content, 256), F.col(id).cast("long")
     bits = lambda at: F.conv(F.substring(digest, at, 16), 16, -10).cast("long")
     names = (bits(1), bits(17)) if tie is None else (F.col(tie), F.col(tie))
-    own = docs.select(given.alias("given"), given.isNull().cast("int").alias("late"), F.coalesce(given, names[0]).alias("id"), (F.when(given.isNull(), names[1]).otherwise(names[0])).alias("text"), content.alias("content"), digest.alias("digest"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
+    own = docs.select(given.alias("given"), given.isNull().cast("int").alias("late"), F.coalesce(given, names[0]).alias("id"), (F.when(given.isNull(), names[1]).otherwise(names[0])).alias("text"), content.alias("content"), digest.alias("digest"), F.struct(*(F.col(f"`{c}`") for c in carry or (id,))).alias("carried"))
     enough = F.octet_length("content") >= length
     # later copies of a whole text
     order = F.struct("late", "id") if tie is None else F.struct(*DOCUMENT)
