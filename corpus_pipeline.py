@@ -18,9 +18,6 @@ from cairnfold.llm.packing import pack_documents
 from cairnfold.llm.queries import vocabulary
 from cairnfold.llm.suffix_dedup import cut_repeats
 
-#: A column that tells rows with one id, or without one, apart.
-TIE = "_tie"
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the toxicity model, trained on the labelled ones, does not reject. Empty texts stay, repeated rows share a verdict."""
@@ -38,20 +35,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows without words are linked with nothing and stay.
     """
-    rows, top = numbered(docs, name=TIE)
-    own = F.when(F.col(TIE) == 0, F.col("doc_id").cast("long")).otherwise(F.lit(top) + F.col(TIE))
-    verdicts = near_duplicates(rows.select(own.alias("row"), "text"), id="row", words=5, num=80, den=100)
-    return without(rows.withColumn("_row", own), "_row", verdicts.where("not kept").select("row")).select(docs.columns)
+    rows, top = numbered(docs)
+    rows = rows.withColumn("row", F.when(F.col("tie") == 0, F.col("id")).otherwise(F.lit(top) + F.col("tie")))
+    verdicts = near_duplicates(rows.select("row", F.col("doc.text").alias("text")), id="row", words=5, num=80, den=100)
+    return without(rows, "row", verdicts.where("not kept").select("row")).select("doc.*")
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 100 bytes or more that start earlier (by id, then by row; null ids last); rows stay, if need be with an empty text; n_chars follows."""
-    rows, _ = numbered(docs, name=TIE)
+    rows, _ = numbered(docs)
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = cut_repeats(rows, length=100, carry=tuple(rest), tie=TIE).select("doc_id", F.col("kept_text").alias("text"), *(F.col(f"carried.`{c}`").alias(c) for c in rest))
+    others = F.struct(*(F.col(f"doc.`{c}`") for c in rest or ["doc_id"])).alias("others")
+    cut = cut_repeats(rows.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), "tie", others), length=100, carry=("others",), tie="tie")
+    out = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("kept_text")} | {c: F.col(f"carried.others.`{c}`") for c in rest}
     if "n_chars" in rest:
-        cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+        out["n_chars"] = F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
