@@ -4,11 +4,14 @@ Suffixes are classified as S or L; the leftmost S ones (LMS) are sorted by their
 named, and the string of names is sorted by the same routine, recursively, until all names differ; two more scans
 induce the whole array from it. Every level is linear. On bytes a scan handles one bucket at a time: everything that a
 bucket induces is one array operation, and what it induces into itself takes one more operation for each repeated
-symbol. Names have small buckets, so their scans go suffix by suffix.
+symbol. Names have small buckets, so their scans go over stretches of the array instead, each as far as nothing in it
+is induced by the stretch itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 
@@ -80,53 +83,66 @@ def _induce(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndar
     return np.concatenate(out[::-1])
 
 
-def _induce_names(s: list[int], is_s: list[bool], lms: list[int], k: int) -> list[int]:
-    """The same two scans over a string of names, suffix by suffix."""
+def _ranks(c: np.ndarray) -> np.ndarray:
+    """How many equal entries stand before each."""
+    order = np.argsort(c, kind="stable")
+    v = c[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    out = np.empty(len(c), np.int64)
+    out[order] = np.arange(len(c)) - np.repeat(first, np.diff(np.append(first, len(c))))
+    return out
+
+
+def _scan(sa: np.ndarray, s: np.ndarray, wanted: np.ndarray, free: np.ndarray) -> None:
+    """One inducing scan along sa (a reversed view for the second one): suffixes before those that stand in it, if wanted, go to the next free places of their buckets."""
+    n, i = len(sa), 0
+    stretch = int(n**0.5) + 64
+    while i < n:
+        stop = min(i + stretch, n)
+        p = sa[i:stop] - 1
+        at = np.flatnonzero(p >= 0)
+        at = at[wanted[p[at]]]
+        if len(at):
+            q = p[at]
+            c = s[q]
+            to = free[c] + _ranks(c)
+            if (low := int(to.min())) < stop:  # from here on the stretch has to be read again
+                stop = low
+                here = at < stop - i
+                q, c, to = q[here], c[here], to[here]
+            sa[to] = q
+            free[c] = to + 1  # places rise, so the last of a bucket counts
+        slow, i = stop - i < 16, stop
+        if slow:  # repeated names induce one another: step by step for a while
+            for x in range(i, min(i + 256, n)):
+                p = int(sa[x]) - 1
+                if p >= 0 and wanted[p]:
+                    c = s[p]
+                    sa[free[c]] = p
+                    free[c] += 1
+            i = min(i + 256, n)
+
+
+def _induce_names(s: np.ndarray, is_s: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:
+    """What _induce() does, for many symbols."""
     sizes = np.bincount(s, minlength=k)
     ends = np.cumsum(sizes)
-    sa = [-1] * len(s)
-    tail = ends.tolist()
-    for p in reversed(lms):
-        c = s[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    head = (ends - sizes).tolist()
-    for i in range(len(s)):
-        p = sa[i] - 1
-        if p >= 0 and not is_s[p]:
-            c = s[p]
-            sa[head[c]] = p
-            head[c] += 1
-    tail = ends.tolist()
-    for i in range(len(s) - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and is_s[p]:
-            c = s[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
+    sa = np.full(len(s), -1, np.int32)
+    c = s[lms]
+    sa[ends[c] - np.bincount(c, minlength=k)[c] + _ranks(c)] = lms
+    _scan(sa, s, ~is_s, ends - sizes)
+    _scan(sa[::-1], s, is_s, len(s) - ends)
     return sa
 
 
-def names_array(s: list[int], k: int) -> list[int]:
+def names_array(names: np.ndarray, k: int) -> np.ndarray:
     """The suffix array of names 0 to k - 1, of which the last, 0, occurs once; recursive while names repeat."""
-    n = len(s)
-    if k == n:  # all names differ: their order is that of the suffixes
-        return np.argsort(s).tolist()
-    is_s = _types(np.array(s))
-    lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).tolist()
-    place = dict(zip(lms, range(len(lms))))
-    is_s = is_s.tolist()
-    sorted_ = [p for p in _induce_names(s, is_s, lms, k) if p in place]
-    names, name, before = [0] * len(lms), 0, sorted_[0]
-    end = dict(zip(lms, [*(p + 1 for p in lms[1:]), n]))
-    for p in sorted_[1:]:
-        name += s[before : end[before]] != s[p : end[p]]
-        names[place[p]] = name
-        before = p
-    return _induce_names(s, is_s, [lms[i] for i in names_array(names, name + 1)], k)
-
-
-def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
+    if k == len(names):  # all names differ: their order is that of the suffixes
+        return np.argsort(names)
+    return suffix_array(names, k, _induce_names)
+
+
+def suffix_array(s: np.ndarray, k: int, induce: Callable = _induce) -> np.ndarray:
     """The suffix array of symbols 0 to k - 1, of which the last, 0, occurs once."""
     n = len(s)
     if n == 1:
@@ -135,7 +151,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(np.int32)  # places take 32 bits: shards are small
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    sorted_ = _induce(s, is_s, lms, k)
+    sorted_ = induce(s, is_s, lms, k)
     sorted_ = sorted_[is_lms[sorted_]]
     size = np.empty(n, np.int32)
     size[lms[:-1]] = np.diff(lms) + 1
@@ -154,8 +170,7 @@ def suffix_array(s: np.ndarray, k: int) -> np.ndarray:
     names_at[sorted_] = np.concatenate([[0], np.cumsum(differs)])
     names = names_at[lms]
     count = int(names.max()) + 1
-    sorted_ = lms[names_array(names.tolist(), count)]
-    return _induce(s, is_s, sorted_, k)
+    return induce(s, is_s, lms[names_array(names, count)], k)
 
 
 def permuted_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:

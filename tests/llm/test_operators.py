@@ -212,6 +212,12 @@ def test_suffix_arrays():
         size, k = rng.integers(1, 60), int(rng.integers(2, 6))
         s = np.append(np.tile(rng.integers(1, k, rng.integers(1, 5)), size) if n % 3 == 0 else rng.integers(1, k, size), 0)
         assert induced_sort.suffix_array(s, k).tolist() == sorted(range(len(s)), key=lambda i: list(s[i:]))
+    for n in range(60):  # strings of names, with runs and periods
+        size, k = int(rng.integers(2, 900)), int(rng.integers(2, 200))
+        s = rng.integers(1, k, size)
+        s = np.append([s, np.repeat(s, 7), np.tile(s[:5], size), np.sort(s)][n % 4], 0).astype(np.int32)
+        got = induced_sort.suffix_array(s, k, induced_sort._induce_names).tolist()
+        assert got == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
 def test_packing(spark, docs, empty):
