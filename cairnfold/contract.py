@@ -1,4 +1,4 @@
-"""What this engine claims, what it leaves for later, and what it does not aim at."""
+"""What this engine answers, what it assumes, and where it stops, as one table of statements."""
 
 from __future__ import annotations
 
@@ -9,29 +9,36 @@ from pyspark.sql import DataFrame, SparkSession
 from .limits import Limits
 
 CONTRACT = {
-    "project": "cairnfold",
-    "status": "fault materialization and per-stream comparison work; replay orchestration, witness reduction, reports and engine adapters are not part of it",
-    "trace_format": Limits().trace_format,
-    "implemented_capabilities": [
-        "reading bounded canonical JSON Lines and checking their structure",
-        "fingerprints of what envelopes mean",
-        "cursors and epochs kept per publisher",
-        "exact, recovering and unknown states of delivered envelopes, within limits",
-        "cache views by scope, changed atomically, with gaps that limits leave",
-        "sealing traces at their end, with fault plans by number",
-        "deterministic drop, duplicate and reorder schedules",
-        "pristine and faulted runs over a schedule's prefix, compared where both are eligible",
-    ],
-    "planned_capabilities": ["replay requests, outcomes and expiry", "smallest witnesses of failed checks", "stable reports and an engine adapter"],
-    "non_goals": ["proving that a serving engine is correct", "looking into GPU tensors", "guessing allocator or reference counts from cache events", "tuning scheduling or routing", "repairing a production cache"],
+    "engine": {
+        "name": "cairnfold",
+        "reads and writes": Limits().trace_format,
+        "runs on": "Spark DataFrames; every answer is a table, and so is every failure",
+    },
+    "questions": {
+        "is this trace sound": "operators/validate.py: each rule is a query, the first failing record of a trace is named with its code",
+        "what did a consumer know": "operators/fold.py follows a stream delivery by delivery, operators/relational.py says the same in closed form where nothing conflicts",
+        "what would it have known": "operators/faults.py delivers the same envelopes with some dropped, repeated or moved",
+        "does the difference matter": "operators/compare.py sets the two views side by side, or says why they cannot be compared",
+    },
+    "assumptions": {
+        "order": "a trace is one file and its records are ordered; nothing is assumed across traces",
+        "trust": "whether a stream began empty is decided outside the trace",
+        "limits": "limits are part of the answers: the same trace under other limits is another question",
+    },
+    "edges": {
+        "one process": "there is no network protocol and no server; a trace is read, not requested",
+        "whole schedules": "a failing schedule is reported as it is, not cut down to a smaller one that still fails",
+        "views only": "keys are compared, the cached values behind them are never seen",
+    },
 }
 
 
+def statements() -> list[tuple[str, int, str]]:
+    return [(section, n, f"{name}: {text}") for section, told in CONTRACT.items() for n, (name, text) in enumerate(told.items())]
+
+
 def as_text() -> str:
-    out = [CONTRACT["project"], f"status: {CONTRACT['status']}", f"trace format: {CONTRACT['trace_format']}"]
-    for title, key in (("implemented capabilities", "implemented_capabilities"), ("planned capabilities", "planned_capabilities"), ("non-goals", "non_goals")):
-        out += ["", f"{title}:", *(f"  - {x}" for x in CONTRACT[key])]
-    return "\n".join(out)
+    return "\n".join(f"[{section}] {text}" for section, _, text in statements())
 
 
 def as_json() -> str:
@@ -39,5 +46,4 @@ def as_json() -> str:
 
 
 def as_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, i, x) for k, v in CONTRACT.items() for i, x in enumerate(v if isinstance(v, list) else [v])]
-    return spark.createDataFrame(rows, "section string, place int, statement string")
+    return spark.createDataFrame(statements(), "section string, place int, statement string")

@@ -6,9 +6,8 @@ inside a grouped map and inside a streaming processor alike.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import MutableMapping, Sequence
 from dataclasses import dataclass, field
-from heapq import heappop, heappush
 from typing import NamedTuple
 
 from ..limits import Limits
@@ -38,7 +37,7 @@ class Delivery(NamedTuple):
 
 
 @dataclass
-class _Slot:
+class Slot:
     """What is known at a cursor: one payload, or the first two prints of conflicting ones."""
 
     prints: list[bytes]
@@ -60,7 +59,7 @@ class _Slot:
 class _Overlay:
     """Changes to a view that are committed together or not at all."""
 
-    def __init__(self, view: dict[str, int], held: int, limits: Limits):
+    def __init__(self, view: MutableMapping[str, int], held: int, limits: Limits):
         self.view, self.limits = view, limits
         self.change: dict[str, int | None] = {}
         self.wiped = False
@@ -114,12 +113,11 @@ class StreamFold:
     conflict_to: int | None = None  # the highest cursor with conflicting payloads
     lost_from: int | None = None  # the range of cursors that could not be kept
     lost_to: int | None = None
-    view: dict[str, int] = field(default_factory=dict)
+    view: MutableMapping[str, int] = field(default_factory=dict)
     view_bytes: int = 0
-    pending: dict[int, _Slot] = field(default_factory=dict)
+    pending: MutableMapping[int, Slot] = field(default_factory=dict)
     pending_bytes: int = 0
-    recent: dict[int, _Slot] = field(default_factory=dict)
-    lowest: list[int] = field(default_factory=list)  # a heap of recent cursors
+    recent: MutableMapping[int, Slot] = field(default_factory=dict)  # an unbroken range of cursors that ends at the frontier
     counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
     truncated: bool = False
     failed: str | None = None
@@ -162,7 +160,7 @@ class StreamFold:
             return self._lost(c, "gap_limits", "gap_limit")
         if len(self.pending) >= self.limits.max_pending_envelopes_per_stream or self.pending_bytes + d.size > self.limits.max_pending_canonical_bytes_per_stream:
             return self._lost(c, "pending_limits", "pending_limit")
-        self.pending[c] = _Slot([d.print], d)
+        self.pending[c] = Slot([d.print], d)
         self.pending_bytes += d.size
         self._settle()
         return "buffered"
@@ -180,7 +178,7 @@ class StreamFold:
         self._count(kind)
         return "stale_unverifiable" if d.first_clear is None else "stale_barrier"
 
-    def _again(self, slot: _Slot, d: Delivery, past: bool) -> str:
+    def _again(self, slot: Slot, d: Delivery, past: bool) -> str:
         met = slot.meets(d.print)
         if met == "same":
             self._count("duplicates")
@@ -217,7 +215,6 @@ class StreamFold:
             for old in [x for x in self.pending if x <= d.cursor]:
                 self.pending_bytes -= self.pending.pop(old).size
             self.recent.clear()
-            self.lowest.clear()
             self.baseline_unknown, self.authoritative = False, True
             if self.conflict_to is not None and self.conflict_to < d.cursor:
                 self.conflict_to = None
@@ -235,11 +232,9 @@ class StreamFold:
         return "barrier_applied" if barrier else "applied"
 
     def _remember(self, cursor: int, p: bytes) -> None:
-        if cursor not in self.recent:
-            heappush(self.lowest, cursor)
-        self.recent[cursor] = _Slot([p])
-        while len(self.recent) > self.limits.max_recent_fingerprints_per_stream:
-            del self.recent[heappop(self.lowest)]
+        self.recent[cursor] = Slot([p])
+        if len(self.recent) > self.limits.max_recent_fingerprints_per_stream:
+            del self.recent[cursor - len(self.recent) + 1]
 
     def _count(self, name: str, added: int = 1) -> None:
         total = self.counts[name] + added

@@ -30,7 +30,7 @@ def verdicts(summaries: DataFrame) -> DataFrame:
 
 
 def errors(summaries: DataFrame) -> DataFrame:
-    """Of each schedule the hard error that ends its comparison: the pristine side's first, then the lowest stream."""
+    """Of each schedule the hard error that ends its comparison: the pristine side's before the faulted one's, and on a side the one that comes first in delivery order."""
     order = F.struct(F.when(F.col("mode") == PRISTINE, 0).otherwise(1), "error_pos")
     return summaries.where("error_code is not null").groupBy("trace", "schedule_idx").agg(F.min_by(F.struct("mode", "stream_idx", "error_pos", "error_code"), order).alias("e")).select("trace", "schedule_idx", "e.*")
 

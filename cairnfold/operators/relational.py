@@ -109,15 +109,22 @@ def missing_removes(cursors: DataFrame, frontiers: DataFrame) -> DataFrame:
 
 
 def dispositions(deliveries: DataFrame, streams: DataFrame) -> DataFrame:
-    """Dispositions of trusted streams without clears or conflicts: applied, buffered or duplicate."""
+    """Dispositions of streams without clears, conflicts or limits in reach: applied, buffered, duplicate, stale_unverifiable.
+
+    A stream whose start isn't trusted starts at its first delivery; what lies before that is too old to be judged.
+    """
+    firsts = deliveries.groupBy(*KEY).agg(F.min_by("cursor", "delivery_pos").alias("c0"))
+    start = F.when(F.col("trusted"), F.col("initial_cursor")).otherwise(F.col("c0"))
+    rows = deliveries.join(streams.select(*KEY, "initial_cursor", "trusted"), KEY).join(firsts, KEY).withColumn("start", start)
     nth = Window.partitionBy(*KEY, "cursor").orderBy("delivery_pos")
-    rows = deliveries.join(streams.where("trusted").select(*KEY, "initial_cursor"), KEY).withColumn("nth", F.row_number().over(nth))
+    rows = rows.withColumn("nth", F.row_number().over(nth))
     up = Window.partitionBy(*KEY).orderBy("cursor")
-    first = rows.where("nth = 1").withColumn("dense", F.col("cursor") - F.col("initial_cursor") + 1 == F.row_number().over(up))
+    first = rows.where("nth = 1 and cursor >= start").withColumn("dense", F.col("cursor") - F.col("start") + 1 == F.row_number().over(up))
     first = first.withColumn("latest", F.max("delivery_pos").over(up.rowsBetween(Window.unboundedPreceding, 0)))
     ready = F.col("dense") & (F.col("latest") == F.col("delivery_pos"))
     told = first.select(*KEY, "delivery_pos", F.when(ready, "applied").otherwise("buffered").alias("disposition"))
-    return rows.join(told, [*KEY, "delivery_pos"], "left").select(*KEY, "delivery_pos", "source_idx", "occurrence", "cursor", F.coalesce("disposition", F.lit("duplicate")).alias("disposition"))
+    rest = F.when(F.col("cursor") < F.col("start"), "stale_unverifiable").otherwise("duplicate")
+    return rows.join(told, [*KEY, "delivery_pos"], "left").select(*KEY, "delivery_pos", "source_idx", "occurrence", "cursor", F.coalesce("disposition", rest).alias("disposition"))
 
 
 def recent(cursors: DataFrame, frontiers: DataFrame, window: int) -> DataFrame:

@@ -137,9 +137,11 @@ def violations(records: DataFrame, streams: DataFrame, envelopes: DataFrame, sch
     over(grown.join(earlier, ["trace", "schedule_idx"]), at + 8, "schedule_work", limits.max_schedule_work_per_trace, F.col("_earlier") + F.col("_made"))
     over(work, _AFTER_ACTIONS, "schedule_work", limits.max_schedule_work_per_trace, F.sum("work").over(running))
     # the normaliser's own budgets
-    out.append(_row(envelopes.where(F.col("canonical_bytes") > limits.max_line_bytes), _NORMALISER, "state", "state_resource_limit", "envelope_fingerprint_bytes", limits.max_line_bytes, F.col("canonical_bytes")))
-    over_all = envelopes.withColumn("_n", F.sum("canonical_bytes").over(running)).where(F.col("_n") > limits.max_fingerprint_bytes_per_trace)
-    out.append(_row(over_all, _NORMALISER + 1, "state", "state_resource_limit", "trace_fingerprint_bytes", limits.max_fingerprint_bytes_per_trace, F.col("_n")))
+    hashed = envelopes.withColumn("_before", F.coalesce(F.sum("canonical_bytes").over(_in_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    left = limits.max_fingerprint_bytes_per_trace - F.col("_before")
+    by_trace = left < limits.max_line_bytes  # the tighter bound gives the failure its name
+    out.append(_row(hashed.where(~by_trace & (F.col("canonical_bytes") > limits.max_line_bytes)), _NORMALISER, "state", "state_resource_limit", "envelope_fingerprint_bytes", limits.max_line_bytes, F.col("canonical_bytes")))
+    out.append(_row(hashed.where(by_trace & (F.col("canonical_bytes") > left)), _NORMALISER, "state", "state_resource_limit", "trace_fingerprint_bytes", limits.max_fingerprint_bytes_per_trace, F.col("_before") + F.col("canonical_bytes")))
     if decisions is not None:
         told = streams.join(decisions.select("trace", "stream_id", "authority"), ["trace", "stream_id"], "left")
         out.append(_row(told.where("authority is null"), 5, "scenario", "baseline_authority_required"))
@@ -149,6 +151,30 @@ def violations(records: DataFrame, streams: DataFrame, envelopes: DataFrame, sch
     return reduce(DataFrame.unionByName, out)
 
 
+def registrations(streams: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """What registering declarations one after the other gives: (trace, record_no, stream_id, handle, code).
+
+    The same declaration twice has the handle (first record) of the first; a changed one under a known name, or a known
+    scope under another name, is refused, and so is what a budget has no room for. Once a trace has a refusal, the rest
+    of it is refused as well. Names and limits are those of the normaliser, which may be used without the trace rules.
+    """
+    same = F.sha2(F.to_json(F.struct(*SCOPE, "initial_cursor", "baseline", "authority"), {"ignoreNullFields": "false"}), 256)
+    named, scoped = _in_order("stream_id"), _in_order(*SCOPE)
+    rows = streams.withColumn("_same", same)
+    rows = rows.withColumn("handle", F.first("record_no").over(named)).withColumn("_changed", F.first("_same").over(named) != F.col("_same"))
+    rows = rows.withColumn("_other", (F.col("handle") == F.col("record_no")) & (F.first("record_no").over(scoped) != F.col("record_no")))
+    new = (F.col("handle") == F.col("record_no")).cast("long")
+    own = reduce(lambda a, b: a + b, [F.octet_length(c) for c in ("stream_id", "engine", "engine_version", "engine_instance", "publisher", "epoch")])
+    run = _in_order().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_streams", F.sum(new).over(run)).withColumn("_bytes", F.sum(new * own).over(run))
+    over = (new == 1) & ((F.col("_streams") > limits.max_streams_per_trace) | (F.col("_bytes") > limits.max_identity_bytes_per_trace))
+    code = F.when(F.col("_changed"), "conflicting_stream_registration").when(F.col("_other"), "duplicate_stream_scope").when(over, "state_resource_limit")
+    rows = rows.withColumn("code", code)
+    failed = F.max(F.col("code").isNotNull().cast("int")).over(_in_order().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("code", F.when(failed == 1, "normalizer_failed").otherwise(F.col("code")))
+    return rows.select("trace", "record_no", "stream_id", F.when(F.col("code").isNull(), F.col("handle")).alias("handle"), "code")
+
+
 def missing_headers(traces: DataFrame, records: DataFrame) -> DataFrame:
     """Traces (trace) that end without any record."""
     empty = traces.join(records.select("trace").distinct(), "trace", "left_anti").withColumn("record_no", F.lit(0).cast("long"))

@@ -22,18 +22,24 @@ class Trace:
     records: DataFrame | None = None
 
 
-def assemble(records: DataFrame, decisions: DataFrame, limits: Limits = Limits()) -> tuple[Trace, DataFrame]:
-    """Tables from decoded records, without the traces that fail; and the first failure of each of those."""
+def assemble(records: DataFrame, decisions: DataFrame, limits: Limits = Limits(), traces: DataFrame | None = None) -> tuple[Trace, DataFrame]:
+    """Tables from decoded records, without the traces that fail; and the first failure of each of those.
+
+    traces (trace) names what was read, so that a trace without any record is a failure too, not an absence.
+    """
     records = settled(records, "records")
-    streams, envelopes, schedules = normalize.streams(records), normalize.envelopes(records), normalize.schedules(records)
-    found = settled(validate.first_failures(validate.violations(records, streams, envelopes, schedules, limits, decisions)), "failures")
+    streams, envelopes, schedules = (settled(f(records), f.__name__) for f in (normalize.streams, normalize.envelopes, normalize.schedules))
+    every = validate.violations(records, streams, envelopes, schedules, limits, decisions)
+    if traces is not None:
+        every = every.unionByName(validate.missing_headers(traces, records))
+    found = settled(validate.first_failures(every), "failures")
     sound = lambda df: df.join(found.select("trace"), "trace", "left_anti")
     streams = normalize.with_authority(sound(streams), decisions)
     return Trace(streams, normalize.placed(sound(envelopes), streams), sound(schedules), sound(records)), found
 
 
 def once(trace: Trace) -> Trace:
-    """The trace's tables computed once: every step below reads them several times."""
+    """The trace's tables computed once: every step below reads them several times. Tables that are written stay as they are."""
     return Trace(settled(trace.streams, "streams"), settled(trace.envelopes, "envelopes"), settled(trace.schedules, "schedules"), trace.records)
 
 
@@ -44,13 +50,13 @@ def whole(trace: Trace) -> DataFrame:
     return s.join(n, "trace", "left").select("trace", F.lit(0).alias("schedule_idx"), F.lit("delivered").alias("schedule_id"), "stream_prefix", F.coalesce("source_prefix", F.lit(0)).alias("source_prefix"), F.array().cast("array<string>").alias("actions"))
 
 
-def deliveries(trace: Trace, faulted: bool = True, exact: bool | None = None) -> DataFrame:
-    """What each side of each schedule delivers, in order, with payloads.
+def order(trace: Trace, faulted: bool = True, exact: bool | None = None) -> DataFrame:
+    """The order in which each side of each schedule delivers, as numbers.
 
     Schedules that only drop and duplicate originals have an order that is one sort; the others are edited exactly
     (all of them with exact=True).
     """
-    order = faults.pristine(trace.schedules)
+    out = faults.pristine(trace.schedules)
     if faulted:
         plans = faults.plans(trace.schedules, trace.envelopes)
         edited = F.exists("actions", lambda a: (a["action"] == "move_before") | (a["target"]["occurrence"] > 0))
@@ -60,8 +66,13 @@ def deliveries(trace: Trace, faulted: bool = True, exact: bool | None = None) ->
         of = lambda s: plans.join(s.select(*keys), keys, "left_semi")
         for part in (faults.materialize_relational(easy, of(easy)) if exact is not True else None, faults.materialize(hard, of(hard)) if exact is not False else None):
             if part is not None:
-                order = order.unionByName(part)
-    return faults.with_payload(order, trace.envelopes)
+                out = out.unionByName(part)
+    return out
+
+
+def deliveries(trace: Trace, faulted: bool = True, exact: bool | None = None) -> DataFrame:
+    """What each side of each schedule delivers, in order, with payloads."""
+    return faults.with_payload(order(trace, faulted, exact), trace.envelopes)
 
 
 def fold_delivered(trace: Trace, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Bounded JSON Lines: a trace is a file, a record is a line, and every failure is a row.
 
-read_lines() goes through Spark's binaryFile reader, so it opens whatever store Spark can; a trace is bounded by
-max_trace_bytes. JsonlSource is the same scan as a Python data source, which never holds more than a line.
+read_lines() goes through Spark's own readers, so it opens whatever store Spark can. Files within max_trace_bytes are
+scanned from memory, which that ceiling bounds; larger ones, which must fail, are read line by line, however large they
+are, until they do. JsonlSource is the same scan as a Python data source for files that Python can open.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.codec import Rejected, decode_line
 from ..limits import Limits
-from ..schema import LINES, RECORDS, struct
+from ..schema import ERROR, LINES, RECORDS, struct
 
 
 def scan(stream: BinaryIO, limits: Limits) -> Iterator[dict]:
@@ -69,8 +70,20 @@ def trace_name(path: str) -> str:
     return parent.removeprefix("trace=") if parent.startswith("trace=") else name.removesuffix(".jsonl")
 
 
-def read_lines(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """The lines of every file under a path: one row per line, and one for each file that ends in a failure."""
+def _named(path: Column) -> Column:
+    """trace_name() as an expression."""
+    steps = F.split(path, "/")
+    folder, name = F.element_at(steps, -2), F.element_at(steps, -1)
+    return F.when(folder.startswith("trace="), F.substring(folder, 7, 10_000)).otherwise(F.regexp_replace(name, r"\.jsonl$", ""))
+
+
+def traces(spark: SparkSession, path: str) -> DataFrame:
+    """The traces (trace) under a path, also those whose file is empty: scans pass over empty files, the listing that Spark's driver has anyway names them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(_named(F.col("path")).alias("trace")).distinct()
+
+
+def _small(limits: Limits):
     schema = to_arrow_schema(struct(LINES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +98,40 @@ def read_lines(spark: SparkSession, path: str, limits: Limits = Limits()) -> Dat
                 if rows:
                     yield _batch(rows, schema)
 
+    return run
+
+
+def _large(lines: DataFrame, limits: Limits) -> DataFrame:
+    """scan() of files over the ceiling, from their lines (path, block, size, value): up to the first failure, which there is."""
+    order = Window.partitionBy("path").orderBy("block", "place")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("place", F.monotonically_increasing_id()).where(F.col("block") <= limits.max_trace_bytes)
+    rows = rows.withColumn("end_byte", F.least(F.sum(F.octet_length("value").cast("long") + 1).over(upto), F.col("size")))
+    rows = rows.withColumn("record_no", F.row_number().over(order).cast("long") - 1).withColumn("start_byte", F.coalesce(F.lag("end_byte").over(order), F.lit(0).cast("long")))
+    full, room, longest = F.col("end_byte") - F.col("start_byte"), F.lit(limits.max_trace_bytes) - F.col("start_byte"), limits.max_line_bytes
+    read = F.least(full, F.lit(longest + 2), room + 1)
+    ends = F.when(F.substring("value", -1, 1) == F.lit(b"\r"), 2).otherwise(1)
+    term = F.when(read == full, full - F.octet_length("value") + ends - 1).otherwise(0)
+    number = F.col("record_no")
+    error = lambda code, limit, actual: F.struct(F.lit("reader").alias("layer"), F.lit(code[0]).alias("code"), F.lit(code[1]).alias("field"), F.lit(limit).cast("decimal(20,0)").alias("limit_value"), actual.cast("decimal(20,0)").alias("actual_value"))
+    failed = (
+        F.when(number >= limits.max_records_per_trace, error(("record_limit", "records"), limits.max_records_per_trace, number + 1))
+        .when((read > room) & (room <= longest + term), error(("trace_bytes", "trace_bytes"), limits.max_trace_bytes, F.lit(limits.max_trace_bytes + 1)))
+        .when(read - term > longest, error(("line_too_long", "line_bytes"), longest, F.lit(longest + 1)))
+    )
+    rows = rows.withColumn("error", failed).withColumn("stop", F.min(F.when(F.col("error").isNotNull(), number)).over(Window.partitionBy("path"))).where("record_no <= stop")
+    bad = F.col("error").isNotNull()
+    payload = F.when(~bad, F.expr("substring(value, 1, octet_length(value) - CASE WHEN substring(value, -1, 1) = X'0D' THEN 1 ELSE 0 END)"))
+    return rows.select(_named(F.col("path")).alias("trace"), "record_no", (number + 1).alias("line_no"), payload.alias("payload"), "start_byte", F.when(bad, F.col("start_byte")).otherwise(F.col("end_byte")).alias("end_byte"), F.col("error").cast(ERROR).alias("error"))
+
+
+def read_lines(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """The lines of every file under a path: one row per line, and one for each file that ends in a failure. An empty file has no row (see traces)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, LINES)
+    small = files.where(F.col("length") <= limits.max_trace_bytes).select("path", "content").mapInArrow(_small(limits), LINES)
+    lines = spark.read.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("value"))
+    return small.unionByName(_large(lines.where(F.col("size") > limits.max_trace_bytes), limits))
 
 
 class JsonlSource(DataSource):
