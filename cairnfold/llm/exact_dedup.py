@@ -24,24 +24,27 @@ def _rows(docs: DataFrame, text: str, id: str, ignored: str) -> DataFrame:
     return own.withColumn("_sha", F.unhex(F.sha2("_key", 256)))
 
 
-def _groups(docs: DataFrame, text: str, id: str, ignored: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Written tables: all rows (_id, _sha); groups of two or more (_sha, keep_id, most, group_size); a bitmap of their hashes.
+def _hash() -> Column:
+    return F.xxhash64(F.substring("_sha", 1, 16))
 
-    Hashes alone are counted first, so only texts whose 128 bits occur twice are moved to have their bytes compared.
-    """
-    shift = F.lit(Decimal(2**64)).cast("decimal(20,0)")
-    hash_ = F.substring("_sha", 1, 16)
+
+def _light(docs: DataFrame, text: str, id: str, ignored: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with their hashes, written as (_id, _sha); and a bitmap of the hashes whose 128 bits occur twice."""
     every = _rows(docs, text, id, ignored)
     light = save(every.select("_id", "_sha"), "hashes")
-    twice = light.groupBy(hash_.alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h")
-    bits = bitmap(twice.select(F.xxhash64("_h")))
-    some = likely(every.select("_id", "_n", "_key", hash_.alias("_h")), F.xxhash64("_h"), bits)
+    twice = light.groupBy(F.substring("_sha", 1, 16).alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    return every, light, bitmap(twice.select(F.xxhash64("_h")))
+
+
+def _groups(some: DataFrame) -> DataFrame:
+    """Groups of two or more rows with equal normalised texts, written: (_sha, keep_id, most, group_size). Bytes are compared."""
+    shift = F.lit(Decimal(2**64)).cast("decimal(20,0)")
     # more code points first, then the smaller id, as one number, which a hash aggregate can keep in place
     best = F.max(F.col("_n") * shift - F.col("_id").cast("decimal(20,0)"))
     most = F.max(F.when(F.col("_id").isNotNull(), F.col("_n")))
-    groups = some.groupBy("_h", "_key").agg(best.alias("_best"), most.alias("_most"), F.max("_n").alias("most"), F.count("*").alias("group_size")).where("group_size > 1")
+    groups = some.groupBy(F.substring("_sha", 1, 16).alias("_h"), "_key").agg(best.alias("_best"), most.alias("_most"), F.max("_n").alias("most"), F.count("*").alias("group_size")).where("group_size > 1")
     keep = (F.col("_most") * shift - F.col("_best")).cast("long").alias("keep_id")
-    return light, save(groups.select(F.unhex(F.sha2("_key", 256)).alias("_sha"), keep, F.coalesce("_most", "most").alias("most"), "group_size"), "copies"), bits
+    return save(groups.select(F.unhex(F.sha2("_key", 256)).alias("_sha"), keep, F.coalesce("_most", "most").alias("most"), "group_size"), "copies")
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", ignored: str = IGNORED) -> DataFrame:
@@ -57,7 +60,8 @@ def exact_dedup(docs: DataFrame, text: str = "text", id: str = "doc_id", ignored
     group_size but stay only if their group has no id at all (keep_id is null then). Rows that repeat an id share its
     result. An empty table gives an empty table; other columns are not looked at.
     """
-    light, groups, _ = _groups(docs, text, id, ignored)
+    every, light, bits = _light(docs, text, id, ignored)
+    groups = _groups(likely(every, _hash(), bits))
     alone = F.col("group_size").isNull()
     return light.join(groups, "_sha", "left").select(
         F.col("_id").alias(id),
@@ -76,8 +80,9 @@ def distinct_rows(docs: DataFrame, text: str = "text", id: str = "doc_id", ignor
     are collapsed to one. Rows with texts of their own pass without being moved. Null text is the empty text. An empty
     table gives an empty table.
     """
-    _, groups, bits = _groups(docs, text, id, ignored)
-    maybe, surely = split(_rows(docs, text, id, ignored), F.xxhash64(F.substring("_sha", 1, 16)), bits)
-    met = maybe.select("doc", "_id", "_n", "_sha").join(groups, "_sha", "left")
+    every, _, bits = _light(docs, text, id, ignored)
+    maybe, surely = split(every, _hash(), bits)
+    maybe = save(maybe, "maybe")
+    met = maybe.select("doc", "_id", "_n", "_sha").join(_groups(maybe), "_sha", "left")
     best = met.where("group_size is not null and _id <=> keep_id and _n = most").groupBy("_sha").agg(F.min("doc").alias("doc"))
     return surely.select("doc").unionByName(met.where("group_size is null").select("doc")).unionByName(best.select("doc")).select("doc.*")

@@ -30,8 +30,10 @@ LONG = 1 << 16
 WORD_END = regex.compile(r"(?<=\p{L})(?=[\s.,;:!?])")
 #: Characters of texts whose new words go to the library together, about.
 CALL = 1 << 20
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-MEMORY = 1_000_000
+#: Words whose ids a worker remembers (some 200 bytes each); beyond it, it starts anew.
+MEMORY = 300_000
+#: New words that go to the library as one text, a line each.
+LINES = 2000
 #: Pieces of one block, on which islands evolve; blocks are many, never larger.
 BLOCK = 4096
 ISLANDS = 3
@@ -109,10 +111,29 @@ class Encoder:
         if len(self.memory) > MEMORY:
             self.memory.clear()
         every = [[(x, self.words(x)) for x in parts(t)] for t in texts]
-        new = list(set().union(*(w if w is not None else (x,) for own in every for x, w in own)).difference(self.memory))
-        self.memory.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
+        met = set().union(*(w for own in every for _, w in own if w is not None)).difference(self.memory)
+        alone = [w for w in met if w.isspace()] + [x for own in every for x, w in own if w is None]
+        self._ask(alone)
+        self._ask_lines([w for w in met if not w.isspace()])
         for own in every:
             yield np.frombuffer(b"".join(map(self.memory.__getitem__, (y for x, w in own for y in (w if w is not None else (x,))))), np.uint32)
+        for x in alone:  # texts are not remembered
+            if len(x) > LONG // 64:
+                self.memory.pop(x, None)
+
+    def _ask(self, texts: list[str]) -> None:
+        self.memory.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(texts, self.library.encode_batch_fast(texts, add_special_tokens=False)))
+
+    def _ask_lines(self, words: list[str]) -> None:
+        """Words without white space behind their first character, many as lines of one text: a line end is always a word of its own."""
+        parts_ = [words[lo : lo + LINES] for lo in range(0, len(words), LINES)]
+        for part, e in zip(parts_, self.library.encode_batch(["\n".join(p) for p in parts_], add_special_tokens=False)):
+            ids, number = np.array(e.ids, "<u4"), np.array(e.word_ids)
+            if number[-1] != 2 * len(part) - 2:
+                self._ask(part)
+                continue
+            raw, cut = ids.tobytes(), (4 * np.searchsorted(number, np.arange(2 * len(part)))).tolist()
+            self.memory.update((w, raw[cut[2 * k] : cut[2 * k + 1]]) for k, w in enumerate(part))
 
 
 @lru_cache(2)

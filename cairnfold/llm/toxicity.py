@@ -10,7 +10,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import byte_view, drop, is_long, mix, save, slices, text_parts, whole, word_hashes, words_of
 
@@ -296,14 +295,14 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", id: str = "d
 
 def without_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that score() doesn't call toxic. One pass, no shuffle; nulls, repeats and empty tables as there."""
-    judged = _scored(model)
+    judged, at = _scored(model), docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scored = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(0)], ["id", "text"])
+            scored = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(0).field(at)], ["id", "text"])
             parts = [b.column(3) for b in judged(iter([scored]))]
             if parts:
-                yield batch.select([1]).filter(pc.invert(pa.concat_arrays(parts)))
+                yield batch.filter(pc.invert(pa.concat_arrays(parts)))
 
-    rows = docs.select(F.col(text).alias("text"), whole(docs).alias("doc"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType)])).select("doc.*")
+    rows = docs.select(whole(docs).alias("doc"))
+    return rows.mapInArrow(run, rows.schema).select("doc.*")
