@@ -174,8 +174,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", wor
     compared exactly, in blocks of at most BLOCK by BLOCK members, so no bucket has a cap and none sits in one task.
     All links are confirmed on full sets. The sketch misses a pair at the threshold with probability 1e-6.
 
-    Null or empty text: an empty set, linked with nothing. A null id is never linked; its component is null and it is
-    kept. Rows that repeat an id count as one document. Empty tables and extra columns are fine.
+    Sets are of 64-bit hashes of words, eight bytes mixed at a time. Null or empty text: an empty set, linked with
+    nothing. A null id is never linked; its component is null and it is kept. Rows that repeat an id count as one
+    document. Very long texts are hashed part by part; their sets are held whole. Empty tables and extra columns are fine.
     """
     bands = bands or bands_for(num / den, rows)
     own = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))

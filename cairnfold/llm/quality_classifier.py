@@ -205,8 +205,8 @@ def classify(docs: DataFrame, model: QualityModel, text: str = "text", id: str =
     """One row per row of docs: (id, score, predicted): the chance of good quality, and whether it reaches the threshold.
 
     Only the text is looked at, all of it, in one pass without a shuffle. Null and empty texts get the score of a text
-    without any indicator. Null ids and repeated rows are scored like others. Without labels of both kinds every score
-    is the share of good labels (a half without any).
+    without any indicator. Null ids and repeated rows are scored like others; very long texts part by part; an empty
+    table gives an empty table. Without labels of both kinds every score is the share of good labels (a half without any).
     """
     out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scored(model), "id long, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).withColumnRenamed("id", id)

@@ -44,6 +44,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_quality_rules measures before its forest judges: SQL can say this part."""
+    return quality_rules.measure(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_pack,
         op3_toxicity,
         op4_quality_rules,
+        text_statistics,
         op5_exact_dedup,
         op6_minhash,
         op7_suffix_dedup,
@@ -90,6 +96,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+_STATISTICS = r"""
+WITH n AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM n) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM n)
+), r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS times FROM g) WHERE times > 1) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, len(words) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM n LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+"""
+
 _OP5 = r"""
 WITH n AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS k FROM documents
@@ -164,4 +188,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": _OP5, "op6_minhash": _OP6, "op7_suffix_dedup": _OP7, "op9_warc": _OP9}
+    return {"text_statistics": _STATISTICS, "op5_exact_dedup": _OP5, "op6_minhash": _OP6, "op7_suffix_dedup": _OP7, "op9_warc": _OP9}

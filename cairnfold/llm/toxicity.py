@@ -286,8 +286,9 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", id: str = "d
     """One row per row of docs: (id, severity, grade, toxic): expected grade, likeliest grade, and the verdict at the model's cut.
 
     Whole texts are read, one pass, no shuffle; the model is a fixed-size table of weights. Null and empty texts, and
-    texts without a word, are never toxic. Null ids are scored like others, repeated rows each. A model fitted without
-    labels calls nothing toxic.
+    texts without a word, are never toxic. Null ids are scored like others, repeated rows each; equal severities have
+    equal verdicts, the cut itself is toxic. A very long text is looked at part by part. An empty table gives an empty
+    table; other columns are not looked at. A model fitted without labels calls nothing toxic.
     """
     out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_scored(model), "id long, severity double, grade int, toxic boolean")
     return out.withColumnRenamed("id", id)
