@@ -191,3 +191,20 @@ def test_held_out(spark):
     told = [(r.toxic, held[r.doc_id].toxic) for r in tox.score(docs, toxic).collect() if r.doc_id in held]
     assert sum(t for t, truth in told if not truth) <= 0.02 * sum(not truth for _, truth in told) + 1
     assert sum(t for t, truth in told if truth) >= 0.6 * sum(bool(truth) for _, truth in told)
+
+
+@pytest.mark.parametrize("similarity, shared", [(0.85, 92), (0.8, 89)])
+def test_recall_of_the_sketch_at_the_threshold(similarity, shared):
+    """Pairs of sets of a hundred, just similar enough: every one meets in some band."""
+    from cairnfold.llm import minhash
+
+    rng, rows = np.random.default_rng(5), 6
+    bands = minhash.bands_for(similarity, rows)
+    seeds = minhash.seeds_for(bands * rows)
+    assert shared / (200 - shared) >= similarity > (shared - 1) / (201 - shared)
+    missed = 0
+    for _ in range(1500):
+        x = rng.integers(0, 2**63, 200 - shared, dtype=np.uint64)
+        a, b = (minhash.sketch(np.sort(s), bands * rows, seeds).reshape(bands, rows) for s in (x[:100], x[100 - shared :]))
+        missed += not (a == b).all(1).any()
+    assert missed == 0
