@@ -202,7 +202,7 @@ class Codec:
     of the text first, the longest at each place.
     """
 
-    def __init__(self, path: str, threads: int = 2):
+    def __init__(self, path: str, threads: int = 2, verify: bool = False):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         with open(path, "rb") as f:
@@ -219,6 +219,9 @@ class Codec:
         self.unused = _unused(model) if model.algorithm == BPE else {}
         #: whether a long text may be given to the sentencepiece library in parts that begin at a blank
         self.parts = self.plain and model.add_dummy_prefix and not across
+        #: whether the sentencepiece library is asked about each new word, and the words that it encodes differently
+        self.asks = verify and self.parts and self.cut is None
+        self.odd: set[str] = set()
         self.memory: dict[str, bytes] = {}
         self.table = [self._bytes(p, kind) for p, _, kind in model.pieces]
 
@@ -248,9 +251,20 @@ class Codec:
         new = list(set().union(*split).difference(self.memory))
         for lo in range(0, len(new), 20_000):
             part = new[lo : lo + 20_000]
-            self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, self._ids(part)))
+            ids = self._ids(part)
+            self.memory.update((w, struct.pack(f"<{len(x)}I", *x)) for w, x in zip(part, ids))
+            if self.asks:
+                self.odd.update(w for w, x, y in zip(part, ids, self._asked(part)) if x != y)
         return split
 
+    def _asked(self, words: list[str]) -> list[list[int]]:
+        """The sentencepiece library's ids of words: it puts a first marker back; markers alone are asked behind a letter."""
+        library = _library(self.path)
+        first = len(library.encode("x"))
+        bare = [not w.strip(MARK) for w in words]
+        ids = library.encode(["x" + w if b else w[1:] if w[:1] == MARK else w for w, b in zip(words, bare)], num_threads=1)
+        return [x[first:] if b else x for x, b in zip(ids, bare)]
+
     def _ids(self, words: list[str]) -> list[list[int]]:
         if self.model.algorithm == UNIGRAM and self.model.byte_fallback:
             unk = self.model.unk_id
@@ -304,18 +318,25 @@ def mismatches(path: str, texts: list[str]) -> list[int]:
 
 
 @lru_cache(2)
-def _codec(path: str, threads: int) -> Codec:
-    return Codec(path, threads)
+def _codec(path: str, threads: int, verify: bool = False) -> Codec:
+    return Codec(path, threads, verify)
 
 
-def _encoded(path: str, threads: int, verify: bool):
+def _encoded(path: str, threads: int, verify: bool, whole: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, threads)
+        codec = _codec(path, threads, verify)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 texts = [t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]
-                ids = codec.encode(texts)
-                same = [a.tolist() == b for a, b in zip(ids, codec.library_ids(texts))] if verify else [None] * len(ids)
+                words = codec.split(texts)
+                ids = [codec.joined(w) for w in words]
+                crcs = [zlib.crc32(a) for a in ids]
+                same: list = [None] * len(ids)
+                if verify:
+                    same = [not codec.odd or codec.odd.isdisjoint(w) for w in words]
+                    ask = [i for i, c in enumerate(crcs) if not codec.asks or c % whole == 0]
+                    for i, theirs in zip(ask, codec.library_ids([texts[i] for i in ask]) if ask else ()):
+                        same[i] = same[i] and ids[i].tolist() == theirs
                 back = [codec.raw(a) for a in ids]
                 lead = 1 if codec.model.add_dummy_prefix else 0
                 plain = texts if codec.plain else [codec.normalised(t)[lead:] for t in texts]
@@ -324,23 +345,25 @@ def _encoded(path: str, threads: int, verify: bool):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32)))
                 shown = pa.array([b.decode("utf-8", "replace") for b in back], pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 256), pa.array(np.diff(at)), pa.array([zlib.crc32(a) for a in ids], pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), shown, lists],
+                    [batch.column(0).slice(lo, 256), pa.array(np.diff(at)), pa.array(crcs, pa.int64()), pa.array(trips), pa.array(same, pa.bool_()), shown, lists],
                     ["id", "n_ids", "ids_crc32", "round_trip", "parity", "decoded", "ids"],
                 )
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, text: str = "text", id: str = "doc_id", threads: int = 2, verify: bool = True, whole: int = 8) -> DataFrame:
     """One row per row of docs: (id, n_ids, ids_crc32, round_trip, parity, decoded, ids).
 
     round_trip: decoding gives the normalised text again; parity (null unless verify): the sentencepiece library gives
-    the same ids for the whole text (texts over LONG characters go to it in parts that begin at a blank, where no piece
-    of the model crosses words). Null and empty texts have no ids; their round trip is true. Null ids and repeated rows
+    the same ids. It is asked about each new word (no piece of the model crosses words, so texts agree where their words
+    do) and, for one in `whole` texts, chosen by the crc of their ids, about the whole text; about all whole texts, if
+    the model changes blanks or characters, or has user-defined pieces or pieces across words. Texts over LONG
+    characters go to it in parts that begin at a blank, where that changes nothing. Null and empty texts have no ids; their round trip is true. Null ids and repeated rows
     are encoded like others; an empty table gives an empty table; other columns are not looked at. Whole texts, one
     pass, no shuffle; a worker holds a few hundred texts and a bounded memory of words.
     """
-    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
+    out = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_encoded(model, threads, verify, whole), "id long, n_ids long, ids_crc32 long, round_trip boolean, parity boolean, decoded string, ids array<int>")
     return out.withColumnRenamed("id", id)
 
 
