@@ -571,8 +571,9 @@ def nothing_to_compare(spark, sf_dir):
 def canonical_jsonl_roundtrip(spark, sf_dir):
     """Every record of the bridge as a line, decoded, encoded canonically, decoded again."""
     limits, once_ = Limits(), _records(spark, sf_dir)
-    again = _decoded(once_.select("trace", "record_no", F.col("canonical_line").alias("value")), limits)
-    return once_.select("trace", "record_no", "kind", F.col("canonical_line").alias("line")).join(again.select("trace", "record_no", F.col("canonical_line").alias("line2")), ["trace", "record_no"]).select("trace", "record_no", "kind", "line", (F.col("line") == F.col("line2")).alias("same"))
+    lines = once_.select("trace", "record_no", "line_no", F.col("canonical_line").cast("binary").alias("payload"), "error", "kind", F.col("canonical_line").alias("line"))
+    again = jsonl.decode(lines, limits, carry=("kind", "line"))
+    return again.select("trace", "record_no", "carried.kind", "carried.line", (F.col("carried.line") == F.col("canonical_line")).alias("same"))
 
 
 _CEILINGS = {"records": {"max_records_per_trace": 50}, "trace_bytes": {"max_trace_bytes": 5000}, "line_bytes": {"max_line_bytes": 150}}

@@ -169,8 +169,11 @@ class _Reader(DataSourceReader):
 _BODY = {"trace_header": "header", "stream": "stream", "envelope": "envelope", "fault_schedule": "schedule"}
 
 
-def decode(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Records from lines: typed columns by kind, the canonical line, or an error. A line that failed to be read keeps its error."""
+def decode(lines: DataFrame, limits: Limits = Limits(), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Records from lines: typed columns by kind, the canonical line, or an error. A line that failed to be read keeps its error.
+
+    What carry names comes along as `carried`, so that nobody has to join a record with what it was made of.
+    """
     limits = limits.checked()
     schema = to_arrow_schema(struct(RECORDS))
 
@@ -186,9 +189,11 @@ def decode(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
                     except Rejected as e:
                         row["error"] = e.row
                 out.append(row)
-            yield _batch(out, schema)
+            made = _batch(out, schema)
+            yield pa.RecordBatch.from_arrays([*made.columns, batch.column(5)], [*made.schema.names, "carried"]) if carry else made
 
-    return lines.select("trace", "record_no", "line_no", "payload", "error").mapInArrow(run, RECORDS)
+    told = lines.select("trace", "record_no", "line_no", "payload", "error", *([F.struct(*carry).alias("carried")] if carry else []))
+    return told.mapInArrow(run, struct(RECORDS).add(told.schema["carried"]) if carry else RECORDS)
 
 
 def write_canonical(records: DataFrame, path: str) -> None:

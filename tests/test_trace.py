@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cairnfold.contract import as_json, as_table
 from cairnfold.__main__ import main
 from cairnfold.limits import Limits
+from cairnfold import queries
 from cairnfold.operators import compare, fold, normalize, validate
 from cairnfold.operators.normalize import TRUST, UNKNOWN
 from cairnfold.plans.analysis import assemble, both_sides, comparison, deliveries, fold_delivered
@@ -181,3 +182,11 @@ def test_contract(spark, capsys):
     assert json.loads(capsys.readouterr().out) == json.loads(as_json())
     assert main(["contract"]) == 0 and "[edges]" in capsys.readouterr().out
     assert as_table(spark).count() == 13
+
+
+def test_round_trip_joins_nothing(spark):
+    """The encoder's lines come along with what they are compared with; a join broadcast them, in the driver."""
+    out = queries.canonical_jsonl_roundtrip(spark, "/root/testdata/sf0.001")
+    assert "Join" not in out._jdf.queryExecution().toString()
+    rows = out.collect()
+    assert rows and all(r.same for r in rows) and {r.kind for r in rows} == {"trace_header", "stream", "envelope"}
