@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import in_groups
 from .validate import references
 
 PRISTINE, FAULTED = "pristine", "faulted"
@@ -75,24 +75,24 @@ class DeliveryOrder:
             key = self.after[key]
 
 
-def _materialized(key, visible: pd.DataFrame, actions: pd.DataFrame) -> pd.DataFrame:
-    order = DeliveryOrder(range(int(visible["source_prefix"].iloc[0])) if len(visible) else [])
-    for a in actions.sort_values("action_idx").itertuples():
-        target = (int(a.source_idx), int(a.occurrence))
-        if a.action == "drop":
+def _materialized(key: tuple, head: tuple, actions: Iterator[tuple]) -> Iterator[tuple]:
+    order = DeliveryOrder(range(head[0]))
+    for _, action, source, occurrence, anchor_source, anchor_occurrence, first, copies in actions:
+        target = (source, occurrence)
+        if action == "drop":
             order.drop(target)
-        elif a.action == "duplicate":
-            order.duplicate(target, int(a.first_occurrence), int(a.copies))
+        elif action == "duplicate":
+            order.duplicate(target, first, copies)
         else:
-            order.move_before(target, (int(a.anchor_source), int(a.anchor_occurrence)))
-    rows = list(order)
-    return pd.DataFrame({"trace": key[0], "schedule_idx": key[1], "delivery_pos": range(len(rows)), "source_idx": [r[0] for r in rows], "occurrence": [r[1] for r in rows]})
+            order.move_before(target, (anchor_source, anchor_occurrence))
+    return ((*key, n, *place) for n, place in enumerate(order))
 
 
 def materialize(schedules: DataFrame, plans: DataFrame) -> DataFrame:
     """Any schedule's faulted order; each schedule is edited by itself, and only numbers enter Python."""
-    visible = schedules.select("trace", "schedule_idx", "source_prefix").groupBy("trace", "schedule_idx")
-    return visible.cogroup(fresh(plans).groupBy("trace", "schedule_idx")).applyInPandas(_materialized, _ORDER).withColumn("mode", F.lit(FAULTED))
+    keys = ["trace", "schedule_idx"]
+    actions = fresh(plans).select(*keys, "action_idx", "action", "source_idx", "occurrence", "anchor_source", "anchor_occurrence", "first_occurrence", "copies")
+    return in_groups(schedules.select(*keys, "source_prefix"), actions, keys, "action_idx", _materialized, _ORDER).withColumn("mode", F.lit(FAULTED))
 
 
 def materialize_relational(schedules: DataFrame, plans: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
-"""The exact fold of each stream, as a grouped map: one task follows one stream's deliveries in order."""
+"""The exact fold of each stream: a task follows its streams' deliveries in order, one stream after the other."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from decimal import Decimal
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from ..functions.fold_state import Delivery, HardError, StreamFold
 from ..limits import Limits
 from ..schema import DISPOSITIONS, SUMMARIES
 from .faults import fresh
+from .ordered import in_groups
 
 KEY = ["trace", "schedule_idx", "mode", "stream_idx"]
 _SUMMARY = [x.split()[0] for x in SUMMARIES.split(", ")]
@@ -21,8 +23,7 @@ _SUMMARY = [x.split()[0] for x in SUMMARIES.split(", ")]
 
 def delivery_of(row) -> Delivery:
     """A delivery from a row whose ops are JSON text: nested columns cost far more on their way to Python."""
-    ops = [(o["op"], o.get("keys", ()), o.get("sizes", ())) for o in json.loads(row.ops)]
-    return Delivery(int(row.cursor), bytes(row.fingerprint), int(row.canonical_bytes), ops, None if pd.isna(row.first_clear) else int(row.first_clear))
+    return Delivery(int(row.cursor), bytes(row.fingerprint), int(row.canonical_bytes), _parsed(row.ops), None if pd.isna(row.first_clear) else int(row.first_clear))
 
 
 def slim(deliveries: DataFrame, *more: str) -> DataFrame:
@@ -30,36 +31,51 @@ def slim(deliveries: DataFrame, *more: str) -> DataFrame:
     return deliveries.select(*KEY, "delivery_pos", F.col("source_idx").cast("long"), F.col("occurrence").cast("int"), "cursor", "fingerprint", "canonical_bytes", "first_clear", F.to_json("ops").alias("ops"), *more)
 
 
-def _run(limits: Limits, finish: Callable):
-    def run(key, stream: pd.DataFrame, deliveries: pd.DataFrame) -> pd.DataFrame:
-        if not len(stream):
-            return finish(key, None, [], None)
-        fold = StreamFold(limits, int(stream["initial_cursor"].iloc[0]), bool(stream["trusted"].iloc[0]))
-        done, error = [], None
-        for row in deliveries.sort_values("delivery_pos").itertuples():
+@lru_cache(1 << 14)
+def _short_ops(text: str) -> list:
+    return _parsed(text)
+
+
+def _parsed(text: str) -> list:
+    return [(o["op"], o.get("keys", ()), o.get("sizes", ())) for o in json.loads(text)]
+
+
+def _followed(limits: Limits, head: tuple, rows: Iterator[tuple]) -> tuple[StreamFold, Iterator[tuple]]:
+    """A stream's fold, and (delivery_pos, source_idx, occurrence, disposition or HardError) of its deliveries, as they are asked for; an error is the last."""
+    fold = StreamFold(limits, int(head[0]), head[1])
+
+    def told() -> Iterator[tuple]:
+        for pos, source, occurrence, cursor, print_, size, clear, ops in rows:
             try:
-                done.append((row.delivery_pos, row.source_idx, row.occurrence, fold.admit(delivery_of(row))))
+                yield pos, source, occurrence, fold.admit(Delivery(int(cursor), print_, size, _short_ops(ops) if len(ops) < 512 else _parsed(ops), clear))
             except HardError as e:
-                error = (e.code, row.delivery_pos)
-                done.append((row.delivery_pos, row.source_idx, row.occurrence, f"error:{e.code}"))
-                break
-        return finish(key, fold, done, error)
+                yield pos, source, occurrence, e
+                return
+
+    return fold, told()
+
 
-    return run
+def _dispositions(limits: Limits):
+    def step(key: tuple, head: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for *place, what in _followed(limits, head, rows)[1]:
+            yield *key, *place, f"error:{what.code}" if isinstance(what, HardError) else what
 
+    return step
 
-def _as_dispositions(key, fold, done, error) -> pd.DataFrame:
-    rows = [(*key, *d) for d in done]
-    return pd.DataFrame(rows, columns=["trace", "schedule_idx", "mode", "stream_idx", "delivery_pos", "source_idx", "occurrence", "disposition"])
 
+def _summary(limits: Limits):
+    def step(key: tuple, head: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        fold, told = _followed(limits, head, rows)
+        last = None
+        for last in told:
+            pass
+        failed = last is not None and isinstance(last[3], HardError)
+        row = dict(zip(KEY, key)) | ({"error_code": last[3].code, "error_pos": last[0]} if failed else fold.finish())
+        if row.get("frontier") is not None:
+            row["frontier"] = Decimal(row["frontier"])
+        yield tuple(map(row.get, _SUMMARY))
 
-def _as_summary(key, fold, done, error) -> pd.DataFrame:
-    if fold is None:
-        return pd.DataFrame([], columns=_SUMMARY)
-    row = dict.fromkeys(_SUMMARY) | dict(zip(KEY, key))
-    row |= {"error_code": error[0], "error_pos": error[1]} if error else fold.finish()
-    row["frontier"] = None if row["frontier"] is None else Decimal(row["frontier"])
-    return pd.DataFrame([row], columns=_SUMMARY).astype(object)
+    return step
 
 
 def visible_streams(schedules: DataFrame, streams: DataFrame, modes: tuple[str, ...]) -> DataFrame:
@@ -68,15 +84,15 @@ def visible_streams(schedules: DataFrame, streams: DataFrame, modes: tuple[str,
     return seen.drop("stream_prefix").withColumn("mode", F.explode(F.array(*map(F.lit, modes))))
 
 
-def _grouped(visible: DataFrame, deliveries: DataFrame, limits: Limits, finish: Callable, schema: str) -> DataFrame:
-    return visible.groupBy(*KEY).cogroup(fresh(slim(deliveries)).groupBy(*KEY)).applyInPandas(_run(limits.checked(), finish), schema)
+def _grouped(visible: DataFrame, deliveries: DataFrame, step: Callable, schema: str) -> DataFrame:
+    return in_groups(visible.select(*KEY, "initial_cursor", "trusted"), fresh(slim(deliveries)), KEY, "delivery_pos", step, schema)
 
 
 def summaries(visible: DataFrame, deliveries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One summary per stream and side, or its hard error."""
-    return _grouped(visible, deliveries, limits, _as_summary, SUMMARIES)
+    return _grouped(visible, deliveries, _summary(limits.checked()), SUMMARIES)
 
 
 def dispositions(visible: DataFrame, deliveries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """What became of each delivery; a hard error ends its stream's rows."""
-    return _grouped(visible, deliveries, limits, _as_dispositions, DISPOSITIONS)
+    return _grouped(visible, deliveries, _dispositions(limits.checked()), DISPOSITIONS)

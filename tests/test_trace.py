@@ -10,7 +10,7 @@ from cairnfold.contract import as_json, as_table
 from cairnfold.__main__ import main
 from cairnfold.limits import Limits
 from cairnfold import queries
-from cairnfold.operators import compare, fold, normalize, validate
+from cairnfold.operators import compare, faults, fold, normalize, ordered, validate
 from cairnfold.operators.normalize import TRUST, UNKNOWN
 from cairnfold.plans.analysis import assemble, both_sides, comparison, deliveries, fold_delivered
 from cairnfold.scratch import settled
@@ -184,6 +184,26 @@ def test_contract(spark, capsys):
     assert as_table(spark).count() == 13
 
 
+def test_groups_are_walked_through_in_order(spark):
+    """Rows in any order and partition; a key without rows, rows without a key's head, a null key, a second head."""
+    heads = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("d", 4), ("d", 4)], "k string, x int")
+    rows = spark.createDataFrame([("a", n * 7 % 5000, str(n * 7 % 5000)) for n in range(5000)] + [(None, 1, "n"), ("c", 1, "lost"), ("d", 2, "v"), ("d", 1, "u")], "k string, at long, v string").repartition(5)
+
+    def step(key, head, own):
+        own = list(own)
+        yield key[0], head[0], [v for _, v in own]
+
+    out = ordered.in_groups(heads, rows, ["k"], "at", step, "k string, x int, v array<string>")
+    assert {r.k: (r.x, r.v) for r in out.collect()} == {"a": (1, [str(n) for n in range(5000)]), "b": (2, []), None: (3, ["n"]), "d": (4, ["u", "v"])}
+
+
+def test_exact_paths_do_not_call_python_for_each_group(spark):
+    """A call for each stream and schedule took most of the time of whole tables."""
+    trace, _ = assemble(records(spark, HEADER, STREAM, env("a", 0), env("b", 1), schedule(move("b", "a"))), decided(spark))
+    shown = lambda df: df._jdf.queryExecution().toString()
+    assert "Pandas" not in shown(both_sides(trace, force_exact=True)) + shown(faults.materialize(trace.schedules, faults.plans(trace.schedules, trace.envelopes)))
+
+
 def test_round_trip_joins_nothing(spark):
     """The encoder's lines come along with what they are compared with; a join broadcast them, in the driver."""
     out = queries.canonical_jsonl_roundtrip(spark, "/root/testdata/sf0.001")
