@@ -1,23 +1,25 @@
-"""Quality rules: exact text statistics, base rules, and an isolation forest over the statistics' ratios."""
+"""Quality rules: exact text statistics, base rules, and an isolation forest over the statistics' ratios.
+
+Every labelled row takes part in the fit: each tree's rows are drawn from all of them, and all of them set the threshold.
+Only the rows drawn, as many as the trees hold, come to the driver.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import IS_BLANK, SLICE_BYTES, byte_view, hashed_words, is_long, mix, shingle_hashes, slices, text_parts, word_hashes
+from .common import IS_BLANK, SLICE_BYTES, byte_view, hashed_words, is_long, mix, save, shingle_hashes, slices, text_parts, to_long, word_hashes
 
 TREES = 200
 #: Rows that one tree is grown on.
 SUBSAMPLE = 512
-#: Labelled rows at most that trees are grown on and the threshold is set by (smallest hashes of their ids).
-SAMPLE = 20_000
 #: Share of rows labelled good that the forest may reject.
 LOSS = 0.005
 #: Share of bad rows among those that trees are grown on: anomalies must be few there to be isolated early.
@@ -132,12 +134,14 @@ class Forest:
     cut: float = math.inf
     used: np.ndarray | None = None  # trees x size: the rows each tree was grown on
 
-    def score(self, x: np.ndarray, apart: np.ndarray | None = None) -> np.ndarray:
+    def score(self, x: np.ndarray, apart: np.ndarray | None = None, seen: Callable[[int], np.ndarray] | None = None) -> np.ndarray:
         """Anomaly of each row: 2 ** (-mean path length / that of a random tree), 0 to 1.
 
-        With apart, the number of each row among those that the trees were grown on (-1: none), only trees that did not
-        see the row count.
+        With apart, the number of each row among those that the trees were grown on (-1: none), or seen, which tells of
+        a tree which rows it was grown on, only trees that did not see the row count.
         """
+        if apart is not None:
+            seen = lambda t: np.isin(apart, self.used[t])
         total, trees = np.zeros(len(x)), np.zeros(len(x))
         every = np.arange(len(x))
         for t in range(len(self.feature)):
@@ -146,7 +150,7 @@ class Forest:
                 f = self.feature[t, node]
                 inner = f >= 0
                 node = np.where(inner, 2 * node + 1 + (x[every, np.maximum(f, 0)] >= self.split[t, node]), node)
-            count = 1.0 if apart is None else ~np.isin(apart, self.used[t])
+            count = 1.0 if seen is None else ~seen(t)
             total += self.depth[t, node] * count
             trees += count
         return 2.0 ** (-total / np.maximum(trees, 1) / max(_expected(self.size), 1e-9))
@@ -157,17 +161,13 @@ def _expected(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = 7) -> Forest:
-    """Trees of random splits on random subsamples."""
-    size = min(size, len(x))
+def _grown(drawn: Iterator[tuple[np.ndarray, np.random.Generator]], trees: int, size: int) -> Forest:
+    """Trees of random splits, each on its own rows (at most `size`)."""
     top = max(1, math.ceil(math.log2(max(size, 2))))
     nodes = 2 ** (top + 1) - 1
     feature, split, depth = np.full((trees, nodes), -1, np.int64), np.zeros((trees, nodes)), np.zeros((trees, nodes))
-    used = np.zeros((trees, size), np.int64)
-    for t in range(trees if len(x) else 0):
-        rng = np.random.default_rng([seed, t])
-        used[t] = rng.choice(len(x), size, replace=False)
-        todo = [(0, 0, x[used[t]])]
+    for t, (own, rng) in enumerate(drawn):
+        todo = [(0, 0, own)]
         while todo:
             node, level, rows = todo.pop()
             spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) else []
@@ -179,7 +179,19 @@ def grow(x: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = 7
             feature[t, node], split[t, node] = f, at
             right = rows[:, f] >= at
             todo += [(2 * node + 1, level + 1, rows[~right]), (2 * node + 2, level + 1, rows[right])]
-    return Forest(feature, split, depth, size, used=used)
+    return Forest(feature, split, depth, size)
+
+
+def grow(x: np.ndarray, trees: int = TREES, size: int = SUBSAMPLE, seed: int = 7) -> Forest:
+    """Trees of random splits on random subsamples."""
+    size = min(size, len(x))
+    rngs = [np.random.default_rng([seed, t]) for t in range(trees if len(x) else 0)]
+    used = np.zeros((trees, size), np.int64)
+    for t, rng in enumerate(rngs):
+        used[t] = rng.choice(len(x), size, replace=False)
+    forest = _grown(((x[rows], rng) for rows, rng in zip(used, rngs)), trees, size)
+    forest.used = used
+    return forest
 
 
 def calibrated(score: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float:
@@ -196,47 +208,141 @@ def calibrated(score: np.ndarray, good: np.ndarray, loss: float = LOSS) -> float
     return float((score[order[best]] + below) / 2)
 
 
+def best_cut(scored: DataFrame, loss: float = LOSS) -> float:
+    """calibrated() of a table (score, good 0 or 1) of any size: running sums within ranges of scores, carried on from range to range."""
+    counts = scored.groupBy("score").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    counts = save(counts.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "scores")
+    parts = sorted(counts.groupBy("part").agg(F.max("score"), F.sum("good"), F.sum("bad")).collect(), key=lambda r: -r[1])
+    before = [(0, 0)]
+    for _, _, good, bad in parts:
+        before.append((before[-1][0] + good, before[-1][1] + bad))
+    if not before[-1][0]:
+        return math.inf
+    after = [r[1] for r in parts[1:]] + [0.0]
+    starts = scored.sparkSession.createDataFrame([(r[0], *sums, x) for r, sums, x in zip(parts, before, after)], "part int, good_before long, bad_before long, after double")
+    w = Window.partitionBy("part").orderBy(F.desc("score"))
+    rows = counts.join(F.broadcast(starts), "part").select("score", F.coalesce(F.lead("score").over(w), "after").alias("below"), (F.sum("good").over(w) + F.col("good_before")).alias("good"), (F.sum("bad").over(w) + F.col("bad_before")).alias("bad"))
+    best = rows.where(F.col("good") <= loss * before[-1][0]).agg(F.max(F.struct((F.col("bad") - F.col("good")).alias("gain"), "score", "below"))).first()[0]
+    return (best["score"] + best["below"]) / 2 if best is not None and best["gain"] > 0 else math.inf
+
+
+def _counted(columns: list[pa.Array]) -> np.ndarray:
+    return np.column_stack([c.to_numpy() for c in columns])
+
+
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        buf, offsets = byte_view(batch.column(2))
+        buf, offsets = byte_view(batch.column(1))
         for lo, hi in slices(offsets):
             s = statistics(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *(pa.array(c) for c in s.T)], ["id", "label", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in s.T)], ["id", *STATISTICS])
+
+
+def measured(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The STATISTICS of each row of docs as a written table (id, ...): fit() and judged() read it, no text is looked at twice."""
+    return save(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_measured, "id long, " + ", ".join(f"{c} long" for c in STATISTICS)), "statistics")
+
+
+_FEATURES = [f"x{i}" for i in range(7)]
+
+
+def _rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, good, x0, ...) of rows that pass the base rules."""
+    for batch in batches:
+        s = _counted(batch.columns[2:])
+        passed = ~base_failed(s)
+        key = mix(batch.column(0).to_numpy().astype(np.int64).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(to_long(key[passed])), pa.array((batch.column(1).to_numpy() > 0)[passed].astype(np.int32)), *(pa.array(c) for c in ratios(s)[passed].T)], ["key", "good", *_FEATURES])
+
+
+def _lot(key: np.ndarray, number: int) -> np.ndarray:
+    """A number of each row for one draw: the rows with the smallest ones are drawn."""
+    return mix(key ^ mix(np.array([number + 1], np.uint64)))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Forest:
-    """A forest grown on the good and a few bad ones of at most `sample` labelled rows, its threshold set by all of them, each scored by the trees that it was not grown into."""
+def _inside(key: np.ndarray, good: np.ndarray, few: int) -> np.ndarray:
+    """Which rows trees may be grown on: the good, and bad ones whose lot is up to `few`."""
+    return (good > 0) | (_lot(key, TREES) <= np.uint64(few))
+
+
+def _drawn(few: int, most: int):
+    """(tree, lot, x0, ...) of rows that may be among those drawn for a tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, x = batch.column(0).to_numpy().view(np.uint64), _counted(batch.columns[2:])
+            inside = _inside(key, batch.column(1).to_numpy(), few)
+            key, x = key[inside], x[inside]
+            for t in range(TREES):
+                lot = _lot(key, t)
+                at = np.flatnonzero(lot <= np.uint64(most))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(to_long(lot[at])), *(pa.array(c) for c in x[at].T)], ["tree", "lot", *_FEATURES])
+
+    return run
+
+
+def _scored(forest: Forest, few: int, last: np.ndarray):
+    """(score, good) of rows, each by the trees that it was not drawn for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, good = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            inside = _inside(key, good, few)
+            score = forest.score(_counted(batch.columns[2:]), seen=lambda t: inside & (_lot(key, t) <= last[t]))
+            yield pa.RecordBatch.from_arrays([pa.array(score), batch.column(1)], ["score", "good"])
+
+    return run
+
+
+def fit(stats: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality") -> Forest:
+    """A forest from all labelled rows of measured(): each tree grown on SUBSAMPLE rows drawn from all good and a few bad ones, the threshold set by all, each scored by the trees that it was not drawn for."""
     rated = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id).cast("long").alias("id")).agg(F.min(label).cast("int").alias("label"))
-    rated = rated.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(rated), "id").select("id", "label", "text")
-    table = rows.mapInArrow(_measured, "id long, label int, " + ", ".join(f"{c} long" for c in STATISTICS)).toArrow().sort_by("id")
-    stats = np.column_stack([table[c].to_numpy() for c in STATISTICS]) if len(table) else np.zeros((0, len(STATISTICS)), np.int64)
-    good = table["label"].to_numpy()
-    passed = ~base_failed(stats)
-    x, good = ratios(stats)[passed], good[passed]
-    bad = np.flatnonzero(good == 0)
-    bad = np.random.default_rng(11).permutation(bad)[: max(1, int(FEW * (good > 0).sum()))]
-    inside = np.sort(np.concatenate([np.flatnonzero(good > 0), bad]))
-    forest = grow(x[inside])
-    apart = np.full(len(x), -1)
-    apart[inside] = np.arange(len(inside))
-    forest.cut = calibrated(forest.score(x, apart), good) if (good > 0).any() else math.inf
-    forest.used = None  # tasks need not carry it
+    rows = save(stats.join(rated, "id").select("id", "label", *STATISTICS).mapInArrow(_rated, "key long, good int, " + ", ".join(f"{x} double" for x in _FEATURES)), "rated")
+    n, good = rows.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    # of the bad as many as FEW says, by their lots: about, but one at least would be drawn from a single one too
+    few = min(2**64 - 1, int(2**64 * max(1, int(FEW * good)) / max(1, n - good)))
+    inside = good + min(n - good, max(1, int(FEW * good)))
+    most = min(2**64 - 1, int(2**64 * (1.5 * SUBSAMPLE + 64) / max(1, inside)))
+    table = rows.mapInArrow(_drawn(few, most), "tree int, lot long, " + ", ".join(f"{x} double" for x in _FEATURES)).toArrow()
+    tree, lot, x = table["tree"].to_numpy(), table["lot"].to_numpy().view(np.uint64), _counted([table[c] for c in _FEATURES])
+    order = np.lexsort((*x.T, lot, tree))
+    cuts = np.searchsorted(tree[order], np.arange(TREES + 1))
+    own = [order[a:b][:SUBSAMPLE] for a, b in zip(cuts[:-1], cuts[1:])]
+    size = max(map(len, own))
+    forest = _grown(((x[rows_], np.random.default_rng([7, t])) for t, rows_ in enumerate(own) if size), TREES, size)
+    last = np.array([lot[r[-1]] if len(r) else 0 for r in own], np.uint64)
+    if good:
+        forest.cut = best_cut(rows.mapInArrow(_scored(forest, few, last), "score double, good int"))
     return forest
 
 
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "quality") -> Forest:
+    """fit() of a table with texts."""
+    return fit(measured(docs, text, id), labels, id, label)
+
+
+def _verdicts(ids: pa.Array, s: np.ndarray, forest: Forest | None) -> pa.RecordBatch:
+    failed = base_failed(s)
+    out = [ids, *(pa.array(c) for c in s[:, :5].T), pa.array(failed)]
+    if forest is not None:
+        anomaly = forest.score(ratios(s))
+        out += [pa.array(anomaly), pa.array(~failed & (anomaly < forest.cut))]
+    return pa.RecordBatch.from_arrays(out, ["id", *STATISTICS[:5], "base_failed", "anomaly", "kept"][: len(out)])
+
+
 def _judged(forest: Forest | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _measured(batches):
+            yield _verdicts(batch.column(0), _counted(batch.columns[1:]), forest)
+
+    return run
+
+
+def _judged_again(forest: Forest):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, offsets = byte_view(batch.column(1))
-            for lo, hi in slices(offsets):
-                s = statistics(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                failed = base_failed(s)
-                out = [batch.column(0).slice(lo, hi - lo), *(pa.array(c) for c in s[:, :5].T), pa.array(failed)]
-                if forest is not None:
-                    anomaly = forest.score(ratios(s))
-                    out += [pa.array(anomaly), pa.array(~failed & (anomaly < forest.cut))]
-                yield pa.RecordBatch.from_arrays(out, ["id", *STATISTICS[:5], "base_failed", "anomaly", "kept"][: len(out)])
+            yield _verdicts(batch.column(0), _counted(batch.columns[1:]), forest)
 
     return run
 
@@ -244,6 +350,11 @@ def _judged(forest: Forest | None):
 _BASE = "id long, " + ", ".join(f"{c} long" for c in STATISTICS[:5]) + ", base_failed boolean"
 
 
+def judged(stats: DataFrame, forest: Forest, id: str = "doc_id") -> DataFrame:
+    """judge() of rows that measured() has looked at."""
+    return stats.mapInArrow(_judged_again(forest), _BASE + ", anomaly double, kept boolean").withColumnRenamed("id", id)
+
+
 def measure(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """One row per row of docs with the statistics and the base rules alone, as in judge()."""
     return docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(_judged(None), _BASE).withColumnRenamed("id", id)

@@ -40,8 +40,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality_rules.judge(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+    stats = quality_rules.measured(_table(spark, sf_dir, "documents"))
+    return quality_rules.judged(stats, quality_rules.fit(stats, _table(spark, sf_dir, "labels")))
 
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,3 +437,30 @@ def test_words_and_lines_of_sliced_columns():
     buf, offs = common.byte_view(column)
     starts, ends, rows = common.words_of(buf, offs)
     assert [bytes(buf[a:b]) for a, b in zip(starts, ends)] == [b"a", b"bc", b"d"] and rows.tolist() == [1, 1, 3]
+
+
+@pytest.mark.parametrize("step", [1, 50])
+def test_best_cut_is_that_of_the_whole_list(spark, step):
+    """Running sums by ranges of scores against calibrated(), with ties, for scores that part the kinds and for some that don't."""
+    rng = np.random.default_rng(step)
+    good = rng.integers(0, 2, 400)
+    for by in (0.0, 0.5):
+        score = np.round((rng.random(400) + by * (good == 0)) * 200 / step) / 200 * step
+        table = spark.createDataFrame([(float(s), int(g)) for s, g in zip(score, good)], "score double, good int").repartition(3)
+        for loss in (0.005, 0.1):
+            assert quality_rules.best_cut(table, loss) == quality_rules.calibrated(score, good, loss)
+
+
+def test_every_labelled_row_is_fitted(spark):
+    """Of 30,000 labelled rows, more than were read before, each may be drawn for trees and each has its part in the threshold."""
+    n = 30_000
+    stats = spark.range(n).select("id", *((F.abs(F.xxhash64("id", F.lit(c))) % (900 if c == "n_words" else 90) + (20 if c != "n_repeat_words" else 0)).cast("long").alias(c) for c in quality_rules.STATISTICS))
+    stats = common.save(stats.withColumn("n_repeat_words", F.lit(0).cast("long")).withColumn("n_symbols", F.when(F.col("id") % 10 == 0, F.col("n_words") * 9).otherwise(F.col("n_symbols"))), "statistics")
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 10 > 0).cast("int").alias("quality"))
+    forest = quality_rules.fit(stats, labels)
+    assert forest.size == quality_rules.SUBSAMPLE and len(forest.feature) == quality_rules.TREES
+    told = quality_rules.judged(stats, forest).select("doc_id", "kept", "anomaly").toArrow()
+    bad, kept = told["doc_id"].to_numpy() % 10 == 0, told["kept"].to_numpy()
+    assert 0 < (~kept[~bad]).mean() < 0.01 and (~kept[bad]).mean() > 10 * (~kept[~bad]).mean()
+    fewer = quality_rules.fit(stats, labels.where("doc_id <> 4321 and doc_id % 7 <> 3 or doc_id % 10 = 0"))
+    assert not np.array_equal(fewer.split, forest.split)
