@@ -25,6 +25,16 @@ WHITE = " \\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 WORDS = r"'(?:[stmd]|re|ve|ll)| ?[L]+| ?[N]+| ?[^WLN]+|[W]+(?![^W])|[W]+"
 ASCII_WORDS = re.compile(WORDS.replace("W", " \\t-\\r").replace("L", "A-Za-z").replace("N", "0-9"))
 ALL_WORDS = regex.compile(WORDS.replace("W", WHITE).replace("L", r"\p{L}").replace("N", r"\p{N}"))
+
+
+@lru_cache(1)
+def basic_words() -> re.Pattern:
+    """ALL_WORDS for texts of the basic plane, its letters and numbers written out as ALL_WORDS sees them: `re` takes half of the time that `regex` does."""
+    plane = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x10000))))
+    spans = lambda kind: "".join(f"\\u{ord(m[0][0]):04x}-\\u{ord(m[0][-1]):04x}" for m in regex.finditer(rf"\p{{{kind}}}+", plane))
+    return re.compile(WORDS.replace("L", "<").replace("N", ">").replace("W", WHITE).replace("<", spans("L")).replace(">", spans("N")))
+
+
 #: Characters of a text that are looked at at once; longer texts are cut where a word surely ends, whatever stands before or behind.
 LONG = 1 << 16
 WORD_END = regex.compile(r"(?<=\p{L})(?=[\s.,;:!?])")
@@ -97,7 +107,9 @@ class Encoder:
         met = set(text)
         if not met <= self.known:
             self._meet(met - self.known)
-        return ALL_WORDS.findall(text) if self.strange.isdisjoint(met) else None
+        if not self.strange.isdisjoint(met):
+            return None
+        return (basic_words() if max(met) <= "\uffff" else ALL_WORDS).findall(text)
 
     def _meet(self, characters: set[str]) -> None:
         cut = self.library.pre_tokenizer.pre_tokenize_str
@@ -116,8 +128,9 @@ class Encoder:
         alone = [w for w in met if w.isspace()] + [x for own in every for x, w in own if w is None]
         self._ask(alone)
         self._ask_lines([w for w in met if not w.isspace()])
+        ids = self.memory.__getitem__
         for own in every:
-            yield np.frombuffer(b"".join(map(self.memory.__getitem__, (y for x, w in own for y in (w if w is not None else (x,))))), np.uint32)
+            yield np.frombuffer(b"".join([b"".join(map(ids, w)) if w is not None else ids(x) for x, w in own]), np.uint32)
         for x in alone:  # texts are not remembered
             if len(x) > LONG // 64:
                 self.memory.pop(x, None)

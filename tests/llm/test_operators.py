@@ -464,3 +464,11 @@ def test_every_labelled_row_is_fitted(spark):
     assert 0 < (~kept[~bad]).mean() < 0.01 and (~kept[bad]).mean() > 10 * (~kept[~bad]).mean()
     fewer = quality_rules.fit(stats, labels.where("doc_id <> 4321 and doc_id % 7 <> 3 or doc_id % 10 = 0"))
     assert not np.array_equal(fewer.split, forest.split)
+
+
+def test_basic_words_are_those_of_the_whole_pattern():
+    """Every character of the basic plane beside a letter, a number, white space and a sign, and random texts."""
+    plane = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000))]
+    rng = random.Random(3)
+    texts = [a + c + a for c in plane for a in "a1! "] + ["".join(rng.choices(plane[: rng.choice((400, 5000, 60_000))], k=500)) for _ in range(60)]
+    assert all(packing.basic_words().findall(t) == packing.ALL_WORDS.findall(t) for t in texts)
