@@ -269,15 +269,16 @@ def _sorted_shard(length: int):
         lates, ids, texts, begin = pdf["late"].to_numpy(), pdf["id"].to_numpy(), pdf["text"].to_numpy(), (pdf["at"].to_numpy() >> 10)
         own = owner[order]
         place = begin[own] + offset[order]
-        rank = np.empty(len(order), np.int32)
-        by = np.lexsort((place, texts[own], ids[own], lates[own]))
-        a, b = own[by[1:]], own[by[:-1]]
-        same = np.concatenate([[False], (lates[a] == lates[b]) & (ids[a] == ids[b]) & (texts[a] == texts[b]) & (place[by[1:]] == place[by[:-1]])])
-        rank[by] = np.cumsum(~same)
+        # documents are numbered in their order, so one number tells which of two windows starts first
+        by = np.lexsort((texts, ids, lates))
+        fresh = (np.diff(lates[by]) != 0) | (np.diff(ids[by]) != 0) | (np.diff(texts[by]) != 0)
+        number = np.empty(len(by), np.int64)
+        number[by] = np.concatenate([[0], np.cumsum(fresh)])
+        rank = (number[own] << 40) | place
         group = np.flatnonzero(np.concatenate([[True], common[1:] < length]))
         least = np.repeat(np.minimum.reduceat(rank, group), np.diff(np.append(group, len(order))))
         late = np.sort(order[rank != least])
-        del order, common, rank, least, place, own, by, a, b, same, group, raw, s
+        del order, common, rank, least, place, own, group, raw, s
         trim()
         if not len(late):
             return pd.DataFrame({"late": [], "id": [], "text": [], "lo": [], "hi": []}, dtype="int64")

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -472,3 +473,12 @@ def test_basic_words_are_those_of_the_whole_pattern():
     rng = random.Random(3)
     texts = [a + c + a for c in plane for a in "a1! "] + ["".join(rng.choices(plane[: rng.choice((400, 5000, 60_000))], k=500)) for _ in range(60)]
     assert all(packing.basic_words().findall(t) == packing.ALL_WORDS.findall(t) for t in texts)
+
+
+def test_windows_of_one_shard_are_ordered_by_document_and_place():
+    """Late documents after others, then id, then text, then place: of equal windows all but the first are told, as ranges."""
+    body = bytes(range(60, 100))
+    pdf = pd.DataFrame({"late": [1, 0, 0, 0, 0], "id": [1, 9, 2, 2, 2], "text": [0, 0, 7, -7, -7], "at": [(5 << 10) + 1, (0 << 10) + 1, (3 << 10) + 1, (900 << 10) + 1, (8 << 10) + 1], "body": [b"a" + body, body + b"b", body + b"c", b"d" + body, b"e" + body]})
+    got = suffix_dedup._sorted_shard(40)(pdf)
+    # the first is the one at 8 in text -7 of document 2, behind one byte
+    assert sorted(map(tuple, got[["late", "id", "text", "lo", "hi"]].to_numpy().tolist())) == [(0, 2, -7, 901, 941), (0, 2, 7, 3, 43), (0, 9, 0, 0, 40), (1, 1, 0, 6, 46)]
